@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, quality
+from .labels import is_fold
 from .work import table
 
 
@@ -15,7 +17,18 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found).drop("longest")
 
 
+def _classified(scored: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", is_fold(F.col("doc_id"), folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return _classified(scored, quality.FOLDS, quality.HELD_OUT, quality.THRESHOLD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_factorisation_machine": op4_factorisation_machine,
     "op6_suffix_decontamination": op6_suffix_decontamination,
 }
 

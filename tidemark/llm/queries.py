@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality
+from . import decontaminate, quality, toxicity
 from .labels import is_fold
 from .work import table
 
@@ -27,8 +27,15 @@ def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(scored, quality.FOLDS, quality.HELD_OUT, quality.THRESHOLD)
 
 
+def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return _classified(scored, toxicity.FOLDS, toxicity.HELD_OUT, toxicity.THRESHOLD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_factorisation_machine": op4_factorisation_machine,
+    "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_suffix_decontamination": op6_suffix_decontamination,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, toxicity
+from . import decontaminate, pieces, quality, toxicity
 from .labels import is_fold
 from .work import table
 
@@ -33,10 +33,15 @@ def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(scored, toxicity.FOLDS, toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_suffix_decontamination": op6_suffix_decontamination,
+    "op8_sampled_pieces": op8_sampled_pieces,
 }
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, toxicity
+from . import decontaminate, pieces, pseudonyms, quality, toxicity
 from .labels import is_fold
 from .work import table
 
@@ -17,6 +17,13 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found).drop("longest")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonyms.pseudonymise(docs, counts="replaced")
+    counts = [F.coalesce(F.col("replaced")[k], F.lit(0)).alias(f"n_{k}") for k in ("card", "phone", "ssn", "date", "ip", "email")]
+    return out.select("doc_id", *counts, "text")
+
+
 def _classified(scored: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
     return scored.select("doc_id", is_fold(F.col("doc_id"), folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -38,6 +45,7 @@ def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_suffix_decontamination": op6_suffix_decontamination,

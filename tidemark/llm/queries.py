@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pseudonyms, quality, toxicity
+from . import decontaminate, pieces, pseudonyms, quality, toxicity, warc
 from .labels import is_fold
 from .work import table
 
@@ -44,12 +44,31 @@ def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    source = F.col("headers")
+    return records.select(
+        "page_id",
+        "warc_type",
+        "record_id",
+        "refers_to",
+        "target_uri",
+        "content_type",
+        "content_length",
+        "block_digest",
+        source["WARC-Source-Content-Type"].alias("source_content_type"),
+        source["WARC-Source-Payload-Digest"].alias("source_payload_digest"),
+        F.col("block").cast("string").alias("text"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_suffix_decontamination": op6_suffix_decontamination,
     "op8_sampled_pieces": op8_sampled_pieces,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

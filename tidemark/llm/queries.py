@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pseudonyms, quality, toxicity, warc
+from . import decontaminate, pieces, pseudonyms, quality, rollups, toxicity, warc
 from .labels import is_fold
-from .work import table
+from .work import shared_dir, table
 
 
 def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found).drop("longest")
 
+#: The folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +48,18 @@ def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents; those not in English counted anew, with a vocabulary of many languages; exact copies deleted.
+    The second is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = rollups.Rollup(spark, f"{shared_dir(spark)}/tidemark/rollup-{uuid.uuid4().hex}")
+    rollup.apply("1-all", inserts=rollups.token_counts(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k"))
+    for _ in range(2):
+        rollup.apply("2-recount", revisions=rollups.token_counts(docs.where("lang <> 'en'"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", "byte_bpe_multi_50k"))
+    rollup.apply("3-copies", deletes=rollups.exact_copies(docs))
+    return rollup.totals()
+
+
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
     source = F.col("headers")
@@ -68,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_suffix_decontamination": op6_suffix_decontamination,
     "op8_sampled_pieces": op8_sampled_pieces,
+    "op9_token_rollups": op9_token_rollups,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
 

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pseudonyms, quality, rollups, toxicity, warc
+from . import decontaminate, mtree, pieces, pseudonyms, quality, rollups, toxicity, warc
 from .labels import is_fold
-from .work import shared_dir, table
+from .work import shared_dir, table, written
 
 
 def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, "text")
 
 
+def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = written(mtree.build(vectors), "mtree")
+    return mtree.search(index, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def _classified(scored: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
     return scored.select("doc_id", is_fold(F.col("doc_id"), folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -80,6 +86,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
+    "op3_mtree_topk": op3_mtree_topk,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_suffix_decontamination": op6_suffix_decontamination,
@@ -92,6 +99,12 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op3_mtree_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op6_suffix_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),

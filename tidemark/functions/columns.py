@@ -1,0 +1,51 @@
+"""Column expressions over the canonical samples ``(series_key, labels, ts_ms, value, ingest_seq)``."""
+
+from __future__ import annotations
+
+import functools
+import operator
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..plans.model import EQ, NEQ, RE, Matcher, Query, Selector, java_pattern
+
+
+def series_key(labels: Column) -> Column:
+    """``{a="1", b="2"}``, names in order, ``\\`` and ``"`` escaped: equal for equal label sets only."""
+    quoted = lambda k: F.replace(F.replace(F.element_at(labels, k), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    parts = F.transform(F.array_sort(F.map_keys(labels)), lambda k: F.concat(k, F.lit('="'), quoted(k), F.lit('"')))
+    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+
+
+def label(name: str, labels: Column | None = None) -> Column:
+    """The label's value, null where it is missing."""
+    return (F.col("labels") if labels is None else labels).getItem(name)
+
+
+def matches(m: Matcher, value: Column | None = None) -> Column:
+    value = label(m.name) if value is None else value
+    if m.op == EQ:
+        return F.coalesce(value == m.value, F.lit(False))
+    if m.op == NEQ:
+        return ~value.eqNullSafe(m.value)
+    found = F.coalesce(value.rlike(java_pattern(m.value)), F.lit(False))
+    return found if m.op == RE else ~found
+
+
+def selected(selector: Selector) -> Column:
+    return functools.reduce(operator.and_, map(matches, selector.matchers), F.lit(True))
+
+
+def in_range(query: Query, ts: str = "ts_ms") -> Column:
+    return F.lit(True) if query.unbounded else F.col(ts).between(query.start, query.end)
+
+
+def bucket(step: int, ts: str = "ts_ms") -> Column:
+    """The start of the step, from the epoch; the division truncates towards zero."""
+    return F.expr(f"({ts} div {int(step)}L) * {int(step)}L")
+
+
+def rendered(value: Column) -> Column:
+    """A value with six decimals; infinities with their sign."""
+    return F.when(value == float("inf"), "+Inf").when(value == float("-inf"), "-Inf").when(F.isnan(value), "NaN").otherwise(F.format_string("%f", value))

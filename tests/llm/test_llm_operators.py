@@ -1,0 +1,484 @@
+"""Each operator against a brute-force version on small frames with nulls, empty and repeated rows, ties and odd columns."""
+
+import base64
+import collections
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, jaccard, mtree, pieces, pseudonyms, quality, repeats, rollups, toxicity, warc
+from tidemark.llm.components import components
+from tidemark.llm.words import Chunk, chunks, hash_bytes, NOT_ALNUM
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns whose names the operators might use themselves.
+CLASH = {"row": "1", "key": "'k'", "words": "2.0D", "n": "3", "score": "cast(null as double)", "label": "9", "a": "0"}
+
+
+def docs_of(spark, texts, ids=None):
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in zip(ids or range(len(texts)), texts)]
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.expr(x) for c, x in CLASH.items()})
+
+
+def prose(r, n, vocabulary=40):
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+def corpus(seed=3):
+    """Texts with copies, near copies, shared passages, a common line and edge cases."""
+    r = random.Random(seed)
+    texts = [prose(r, r.randint(1, 90), 3000) for _ in range(60)]
+    passage, line = prose(r, 45, 3000), prose(r, 21, 3000)
+    for i in range(0, 40, 3):
+        texts[i] += " " + passage + "\n" + prose(r, 5)
+    texts += [line + "\t" + x for x in texts[:20]]
+    for _ in range(30):
+        words = texts[5].split() + prose(r, 60, 7).split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = f"n{r.randrange(99)}"
+        texts.append(" ".join(words))
+    texts += [texts[7]] * 9 + ["", None, None, " \n", "one", "One", "two words", "A b c", "a B c", "x " * 70, " x y é漢"]
+    return texts
+
+
+# --- helpers
+
+
+def test_words_and_hashes():
+    c = next(chunks(pa.array(["x idiot, y", None, "", "Idiot\n"])))
+    s, e, at = c.lowered().words(NOT_ALNUM)
+    h = c.lowered().word_hashes(s, e)
+    assert at.tolist() == [0, 3, 3, 3, 4] and h[1] == h[3] == hash_bytes("idiot")
+    assert Chunk(np.zeros(0, np.uint8), np.zeros(2, np.int64)).words()[2].tolist() == [0, 0]
+
+
+def test_components(spark):
+    r = random.Random(5)
+    for links in ([], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)], [(r.randrange(80), r.randrange(80)) for _ in range(60)]):
+        roots = {x: x for p in links for x in p}
+        for _ in roots:
+            for a, b in links:
+                roots[a] = roots[b] = min(roots[a], roots[b])
+        found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert {x: found.get(x, x) for x in roots} == roots
+
+
+# --- 1
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def with_check(payload):
+    return next(payload + c for c in "0123456789" if luhn(payload + c))
+
+
+def test_pseudonyms(spark):
+    r = random.Random(2)
+    cards = [with_check("".join(r.choice("0123456789") for _ in range(n - 1))) for n in range(13, 20)]
+    spaced = f"{cards[3][:4]} {cards[3][4:8]}-{cards[3][8:12]} {cards[3][12:]}"
+    bad = cards[3][:-1] + str((int(cards[3][-1]) + 1) % 10)
+    texts = [" ".join(cards), spaced, bad, "Am@b.example.com. an.12@c.org!", "+1 (017) 555-7713%%%", "7.88.85.226 and 300.1.1.1", "1987-02-28, 28/02/1987 and 28.02.1987", "1987-02-30 123-45-6789 000-45-6789", None, "", "no digits", "9" * 40]
+    df = docs_of(spark, texts)
+    found = pseudonyms.pseudonymise(df, counts="replaced", n_chars="n_chars").orderBy("doc_id").collect()
+    out = [x.text for x in found]
+    new = out[0].split()
+    assert [len(x) for x in new] == [len(x) for x in cards] and all(map(luhn, new)) and not set(new) & set(cards)
+    assert re.sub("[ -]", "", out[1]) == new[3] and re.sub("[0-9]", "9", out[1]) == re.sub("[0-9]", "9", spaced)
+    assert out[2] == bad and out[8] is None and out[9] == "" and out[10] == texts[10] and out[11] == texts[11]
+    assert re.fullmatch(r"[a-z]{2}@b\.example\.com\. [a-z]{2}\.[0-9]{2}@c\.org!", out[3]) and out[3] != texts[3].lower()
+    assert re.fullmatch(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}%%%", out[4]) and out[4] != texts[4]
+    assert out[5].endswith("300.1.1.1") and not out[5].startswith("7.88.85.226")
+    a, b, _, c = out[6].replace(",", "").split()
+    assert a == "-".join(reversed(b.split("/"))) == "-".join(reversed(c.split("."))) != "1987-02-28"
+    assert out[7].startswith("1987-02-30 ") and out[7].endswith("000-45-6789") and "123-45-6789" not in out[7]
+    assert found[0].replaced == {"card": 7} and [x.n_chars for x in found if x.text] == [len(x.text) for x in found if x.text]
+    assert found[0].asDict().keys() - {"replaced"} == set(df.columns)
+    other = pseudonyms.pseudonymise(df, key="other").orderBy("doc_id").first().text
+    assert other not in (out[0], texts[0])
+    assert pseudonyms.pseudonymise(docs_of(spark, [])).count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    days = spark.range(229 * 319).select(pseudonyms.feistel("k", "d", F.floor(F.col("id") / 319), F.col("id") % 319, 229, 319).alias("p"))
+    assert days.distinct().count() == 229 * 319
+    digits = spark.range(1000).select(pseudonyms.permuted_digits("k", "d", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p"))
+    assert {x.p for x in digits.collect()} == {f"{i:03d}" for i in range(1000)}
+
+
+def test_pseudonyms_are_native(spark):
+    plan = pseudonyms.pseudonymise(docs_of(spark, ["1.2.3.4"]), counts="c")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- 2
+
+
+def brute_repeats(rows, window=20):
+    first = {}
+    for i, t in rows:
+        w = (t or "").encode()
+        w = w.split()
+        for k in range(len(w) - window + 1):
+            x = tuple(w[k : k + window])
+            first[x] = min(first.get(x, (i, k)), (i, k))
+    out = []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = {j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < (i, k) for j in range(k, k + window)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("heavy,batch", [(256, 40_000), (2, 40_000), (3, 50)])
+def test_repeats(spark, monkeypatch, heavy, batch):
+    monkeypatch.setattr(repeats, "BATCH_ROWS", batch)
+    texts = corpus()
+    ids = list(range(len(texts)))
+    random.Random(1).shuffle(ids)
+    df = docs_of(spark, texts, ids).repartition(5)
+    found = repeats.without_repeats(df, heavy=heavy)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()) == brute_repeats(list(zip(ids, texts)))
+    assert all((r.kept is None) == (t is None) for (r, t) in zip(found.orderBy("doc_id").collect(), [t for _, t in sorted(zip(ids, texts), key=lambda x: x[0])]))
+
+
+def test_repeats_edge_cases(spark):
+    t = " ".join(f"v{i}" for i in range(25))
+    df = docs_of(spark, [t, t, t, t + " x", None], [5, 5, None, 5, None])
+    found = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in repeats.without_repeats(df).collect())
+    # equal rows are one document; another text of the same id starts at the same words, so not earlier; null ids stay out
+    assert found == sorted([("5", 25, 0), ("5", 25, 0), ("None", 25, 0), ("5", 26, 0), ("None", 0, 0)])
+    assert repeats.without_repeats(docs_of(spark, [])).count() == 0
+    assert sorted(r.n_removed for r in repeats.without_repeats(docs_of(spark, ["a " * 30, "b " * 19])).collect()) == [0, 29]
+
+
+# --- 3
+
+
+def brute_topk(rows, k):
+    usable = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            usable.setdefault(i, []).append([int(np.floor(256 * float(np.float32(x)))) for x in v])
+    out = []
+    for q, vs in usable.items():
+        if q % 50 == 0:
+            for v in vs:
+                scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, ws in usable.items() if i != q for w in ws if len(w) == len(v))
+                out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("page,shard", [(256, 1 << 14), (4, 90)])
+def test_mtree(spark, monkeypatch, page, shard):
+    monkeypatch.setattr(mtree, "PAGE", page)
+    monkeypatch.setattr(mtree, "SHARD", shard)
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 1, (5, 8))
+    vectors = [(centres[r.integers(5)] + r.normal(0, 0.3, 8)).astype(np.float32).tolist() for _ in range(300)]
+    vectors[50:90] = [vectors[50]] * 40
+    vectors[100], vectors[101], vectors[102], vectors[103], vectors[150] = None, [], [float("nan")] * 8, [None] + [0.0] * 7, [1.0, 2.0]
+    rows = list(zip(range(300), vectors)) + [(None, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"shard": F.lit(0), "id": F.lit("x")}).repartition(3)
+    found = mtree.search(mtree.build(df), df.where("vec_id % 50 = 0"), 5)
+    assert sorted(map(tuple, found.collect())) == brute_topk(rows, 5)
+    assert mtree.search(mtree.build(df.limit(0)), df, 5).count() == 0 and mtree.search(mtree.build(df), df.limit(0), 5).count() == 0
+
+
+def test_mtree_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "BLOCK", 2)
+    rows = [(i * 50, [float(i), 1.0]) for i in range(7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, mtree.search(mtree.build(df), df, 3).collect())) == brute_topk(rows, 3)
+
+
+# --- 4, 5
+
+
+def labelled(spark, n=600, seed=8):
+    r = random.Random(seed)
+    rows, marks = [], []
+    for i in range(n):
+        good, toxic = r.random() < 0.7, r.random() < 0.3
+        words = prose(r, r.randint(5, 60), 200).split()
+        if not good:
+            words = [w.upper() + "!!" for w in words]
+        if toxic:
+            words.insert(r.randrange(len(words)), "awful")
+        rows.append(" ".join(words))
+        marks.append((i, int(good), int(toxic)))
+    rows += ["", None]
+    labels = spark.createDataFrame([*marks, marks[0], (None, 1, 1), (n, None, None)], "doc_id long, quality int, toxic int")
+    return docs_of(spark, rows), labels, marks
+
+
+def test_quality(spark):
+    docs, labels, marks = labelled(spark)
+    model = quality.train(docs, labels)
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert len(scores) == docs.count() and all(0 <= s <= 1 for s in scores.values())
+    assert np.mean([(scores[i] >= quality.THRESHOLD) == bool(q) for i, q, _ in marks]) > 0.97
+    assert scores == {r.doc_id: r.score for r in quality.score(docs.repartition(7), quality.train(docs.repartition(3), labels)).collect()}
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= quality.THRESHOLD}
+    blank = quality.train(docs, labels.limit(0))
+    assert {r.score for r in quality.score(docs, blank).collect()} == {0.5}
+
+
+def test_factorisation_identity():
+    r = np.random.default_rng(1)
+    m = quality.FactorisationMachine(0.3, r.normal(size=quality.FEATURES).astype(np.float32), r.normal(size=(quality.FEATURES, quality.RANK)).astype(np.float32))
+    i, x = np.array([3, 9, 70]), np.array([0.5, 2.0, 1.0], np.float32)
+    pairs = sum(float(m.factors[i[a]] @ m.factors[i[b]]) * x[a] * x[b] for a, b in itertools.combinations(range(3), 2))
+    assert np.isclose(m.raw(i, x, np.array([0, 3]))[0][0], 0.3 + float(m.weight[i] @ x) + pairs, atol=1e-4)
+
+
+def test_toxicity(spark):
+    docs, labels, marks = labelled(spark)
+    model = toxicity.train(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(scores) == docs.count() and all(0 <= s <= 1 for s in scores.values())
+    assert np.mean([(scores[i] >= toxicity.THRESHOLD) == bool(t) for i, _, t in marks]) > 0.97
+    assert scores == {r.doc_id: r.score for r in toxicity.score(docs.repartition(6), model).collect()}
+    assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).count() == docs.count()
+
+
+def test_shared_counts_cover_all_texts(spark):
+    shared = toxicity.shared_counts(docs_of(spark, ["a b", "c b", "d b", "a e", None]))
+    at = lambda w: shared[hash_bytes(w) % toxicity.SHARED_WORDS]
+    assert np.isclose(shared.sum(), 1) and at("b") > 2 * at("e") > at("unseen")
+
+
+# --- 6
+
+
+def alnum(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def brute_contamination(docs, items, window=10):
+    out = []
+    for i, t in docs:
+        w, hit, ids = alnum(t), set(), set()
+        for item, x in items:
+            v = alnum(x)
+            n = min(window, len(v))
+            wins = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1 if n else 0):
+                if tuple(w[k : k + n]) in wins:
+                    hit |= set(range(k, k + n))
+                    ids.add(str(item))
+        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block,shard", [(1 << 24, 1 << 22), (40, 300)])
+def test_contamination(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    r = random.Random(6)
+    items = [(k, prose(r, r.choice([3, 9, 10, 14, 25]), 300)) for k in range(12)]
+    items += [(20, items[0][1]), (3, items[3][1]), (21, ""), (22, None), (23, "É漢, Ça!"), (24, "w1")]
+    texts = corpus(7)[:60]
+    for k in range(0, 40, 2):
+        words = texts[k].split()
+        a = items[k % 12][1].split()
+        words[2:2] = a[r.randrange(3) :][: r.randint(5, 25)]
+        texts[k] = ", ".join(words).upper() if k % 4 else "\n".join(words)
+    texts += ["x é漢 ça y", "w1", "w11", None, ""]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
+    found = decontaminate.matches(docs, bench)
+    rows = decontaminate.report(found).drop("longest").collect()
+    expected = brute_contamination(list(enumerate(texts)), items)
+    assert sorted(map(tuple, rows)) == expected
+    clean = decontaminate.remove_contaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [x[0] for x in expected if not x[5]]
+    for r_ in found.collect():
+        w = alnum(texts[r_.doc_id])
+        assert all(0 <= s.first and s.first + s.n <= len(w) for s in r_.spans)
+    assert decontaminate.report(decontaminate.matches(docs, bench.limit(0))).where("contaminated").count() == 0
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0
+
+
+# --- 7
+
+
+def brute_clusters(rows, k=4, percent=85):
+    sets = {}
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in range(len(sets)):
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    return sorted((i, len(sets[i]), root[i]) for i in sets)
+
+
+@pytest.mark.parametrize("k,percent,short,group,batch", [(4, 85, 24, 128, 100_000), (4, 85, 3, 4, 60), (5, 80, 2, 2, 10), (2, 50, 3, 128, 100_000)])
+def test_clusters(spark, monkeypatch, k, percent, short, group, batch):
+    for name, x in (("SHORT", short), ("GROUP", group), ("BATCH_ROWS", batch)):
+        monkeypatch.setattr(jaccard, name, x)
+    texts = corpus(9)
+    ids = list(range(len(texts)))
+    random.Random(4).shuffle(ids)
+    docs = docs_of(spark, texts, ids).repartition(5)
+    found = jaccard.clusters(docs, shingle=k, percent=percent)
+    expected = brute_clusters(list(zip(ids, texts)), k, percent)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == expected
+    if short == 24:
+        kept = jaccard.keep_one(docs, shingle=k, percent=percent)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, _, c in expected if i == c]
+
+
+def test_clusters_edge_cases(spark):
+    t = " ".join(f"v{i}" for i in range(30))
+    docs = docs_of(spark, [t, t, t, "other", None], [7, 7, None, 7, None])
+    found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.clusters(docs).collect())
+    assert found == sorted([("7", 27, "7"), ("7", 27, "7"), ("None", 27, "None"), ("7", 1, "7"), ("None", 0, "None")])
+    assert sorted(str(r.doc_id) for r in jaccard.keep_one(docs).collect()) == ["7", "None", "None"]
+    assert jaccard.clusters(docs_of(spark, [])).count() == 0
+
+
+def test_divide_skip():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        query = np.unique(r.integers(0, 60, r.integers(1, 40))).astype(np.uint64)
+        sets = []
+        for _ in range(r.integers(1, 9)):
+            own = set(query.tolist())
+            for x in r.integers(0, 60, r.integers(0, 8)).tolist():
+                own ^= {x}
+            sets.append(np.array(sorted(own or {99}), np.uint64))
+        sizes = np.array([len(x) for x in sets])
+        found = jaccard.divide_skip(query, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes, 70)
+        both = [len(set(query.tolist()) & set(x.tolist())) for x in sets]
+        assert found.tolist() == [i for i, b in enumerate(both) if 100 * b >= 70 * (len(query) + len(sets[i]) - b)]
+
+
+# --- 8
+
+
+def test_pieces(spark):
+    texts = ["the cat  sat\n on▁ it ▁", " lead", "", None, "é漢字🎉\x00 tab\t  ", "a" * 300, "The quick brown fox. " * 20, "▁▁ ▁", " "]
+    docs = docs_of(spark, texts)
+    coded = pieces.encode(docs, also=("lang", "key"))
+    assert coded.columns == ["doc_id", "lang", "key", "piece_ids"]
+    back = {r.doc_id: r.text for r in pieces.decode(coded).collect()}
+    assert [back[i] for i in range(len(texts))] == texts
+    ids = {r.doc_id: r.piece_ids for r in coded.collect()}
+    assert ids == {r.doc_id: r.piece_ids for r in pieces.encode(docs.repartition(4)).collect()}
+    assert ids != {r.doc_id: r.piece_ids for r in pieces.encode(docs, seed=21).collect()}
+    trip = {r.doc_id: r for r in pieces.round_trip(docs).collect()}
+    for i, t in enumerate(texts):
+        assert trip[i].lossless is (None if t is None else True) and trip[i].n_pieces == (None if t is None else len(ids[i]))
+    assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_pieces_have_the_lattice_distribution():
+    v = pieces.Pieces(pieces.TOKENIZER, alpha=0.3)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.TOKENIZER)
+    known = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def segmentations(w):
+        if not w:
+            yield (), 0.0
+        for k in range(1, len(w) + 1):
+            if (i := known.get(w[:k])) is not None:
+                for rest, x in segmentations(w[k:]):
+                    yield (i, *rest), x + v.weight[i]
+
+    weights = {s: np.exp(x) for s, x in segmentations("▁there")}
+    total, n = sum(weights.values()), 40_000
+    ids, count = v.sample([" there"] * n, np.arange(n))
+    parts = collections.Counter(map(tuple, np.split(ids, np.cumsum(count)[:-1])))
+    for s, w in weights.items():
+        assert abs(parts[s] / n - w / total) < 5 * (w / total / n) ** 0.5 + 1e-3
+
+
+# --- 9
+
+
+def test_rollups(spark, tmp_path):
+    row = "doc_id long, source string, lang string, n_tokens long"
+    frame = lambda rows, version: spark.createDataFrame(rows, row).withColumn("tokenizer_version", F.lit(version))
+    rollup = rollups.Rollup(spark, str(tmp_path / "r"))
+    assert rollup.totals().count() == 0
+    first = frame([(1, "a", "en", 10), (2, "a", "en", 5), (3, None, "de", 7), (4, "b", None, None), (4, "b", None, 2)], "v1")
+    assert rollup.apply("1", inserts=first) and not rollup.apply("1", inserts=first)
+    revised = frame([(2, "a", "en", 6), (3, "a", "de", 7), (9, "c", "fr", 1)], "v2")
+    gone = spark.createDataFrame([(1,), (8,), (None,), (1,)], "doc_id long")
+    # an attempt that failed before its commit leaves files, but no marker
+    first.write.parquet(str(tmp_path / "r" / "batches" / "2-lost" / "changes"))
+    for _ in range(2):
+        rollup.apply("2", revisions=revised, deletes=gone)
+    found = {tuple(r)[:3]: tuple(r)[3:] for r in rollup.totals().collect()}
+    assert found == {("a", "en", "v2"): (1, 6), ("a", "de", "v2"): (1, 7), ("c", "fr", "v2"): (1, 1), ("b", None, "v1"): (2, 2)}
+    by_documents = rollup.documents().groupBy("source", "lang", "tokenizer_version").agg(F.sum("n_docs"), F.sum("n_tokens"))
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in by_documents.collect()} == found
+    assert rollup.apply("3", deletes=spark.createDataFrame([(i,) for i in range(10)], "doc_id long")) and rollup.totals().count() == 0
+    with pytest.raises(ValueError):
+        rollup.apply("a/b")
+
+
+def test_token_counts(spark):
+    import tiktoken
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    count = tiktoken.Encoding("own", pat_str=rollups.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = corpus()
+    found = {r.doc_id: r.n_tokens for r in rollups.token_counts(docs_of(spark, texts), path, "v").collect()}
+    assert found == {i: len(count(t or "")) for i, t in enumerate(texts)}
+    copies = {r.doc_id for r in rollups.exact_copies(docs_of(spark, texts)).collect()}
+    assert copies == {i for i, t in enumerate(texts) if t is not None and texts.index(t) < i}
+
+
+# --- 10
+
+PAGE = """<!DOCTYPE html><html lang="EN"><head><title>A &amp; B
+c</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><!-- no --><nav><a href="/x?a=1&amp;b">x</a> <a class=k href='y'>y</a></nav>
+<p><b>Bold</b> text &lt;here&gt;<br>next<p>5 < 6</p><script>gone</body></html>"""
+
+
+def test_warc(spark):
+    rows = [(1, "http://a/", PAGE), (2, None, None), (3, "http://b/", ""), (3, "http://b/", ""), (4, "http://c/é", "plain\r\n\r\ntext <!-- open")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(1))
+    responses = warc.responses(pages)
+    records = warc.derivatives(responses)
+    by = collections.defaultdict(list)
+    for r in records.collect():
+        by[r.page_id, r.warc_type].append(r)
+    source = {r.page_id: r for r in responses.collect()}
+    assert {k: len(v) for k, v in by.items()} == {(i, t): 1 + (i == 3) for i in (1, 2, 3, 4) for t in ("metadata", "conversion")}
+    text = by[1, "conversion"][0]
+    assert bytes(text.block).decode() == "x y\nBold text <here>\nnext\n5 < 6" and bytes(by[4, "conversion"][0].block).decode() == "plain\ntext"
+    meta = bytes(by[1, "metadata"][0].block).decode()
+    assert "title: A & B c\r\n" in meta and "language: en\r\n" in meta and "outlink: /x?a=1&b\r\n" in meta and "outlink: y\r\n" in meta and "http-status: HTTP/1.1 200 OK" in meta
+    for (i, _), found in by.items():
+        for r in found:
+            s = source[i]
+            assert (r.refers_to, r.target_uri, r.warc_date) == (s.record_id, s.target_uri, s.warc_date) and r.block_digest == warc.digest(bytes(r.block)) and r.content_length == len(r.block)
+    assert text.headers["WARC-Source-Payload-Digest"] == source[1].payload_digest == warc.digest(PAGE.encode()) and text.headers["WARC-Source-Content-Type"].startswith("text/html")
+    every = responses.unionByName(records)
+    raw = warc.serialised(every)
+    again = warc.parsed(raw)
+    order = lambda df: sorted((r.record_id, r.warc_type, r.refers_to or "", bytes(r.block), sorted(r.headers.items()), r.block_digest) for r in df.collect())
+    assert order(again) == order(every)
+    joined = spark.createDataFrame([(b"".join(bytes(r.warc) for r in raw.collect()) + b"WARC/1.1\r\nbroken",)], "warc binary")
+    assert order(warc.parsed(joined)) == order(every)
+    assert warc.derivatives(records).count() == 0 and warc.responses(pages.limit(0)).count() == 0

@@ -149,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: i
             yield pa.RecordBatch.from_arrays([batch.column("seed"), batch.column("label"), lists(index, pa.int32()), lists(value, pa.float32())], names=["seed", "label", "i", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        if rows.num_rows:
-            rows = rows.sort_by([("seed", "ascending"), ("label", "ascending")]).combine_chunks()
+        held = list(batches)
+        if sum(map(len, held)):
+            rows = pa.Table.from_batches(held).sort_by([("seed", "ascending"), ("label", "ascending")]).combine_chunks()
             i, x = rows["i"].combine_chunks(), rows["x"].combine_chunks()
             starts = np.concatenate([[0], np.cumsum(i.value_lengths().to_numpy())])
             model = FactorisationMachine.fit(i.flatten().to_numpy().astype(np.int64), x.flatten().to_numpy(), starts, rows["label"].to_numpy().astype(np.float32))

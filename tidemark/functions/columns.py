@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import EQ, NEQ, RE, Matcher, Query, Selector, java_pattern
@@ -23,18 +23,29 @@ def label(name: str, labels: Column | None = None) -> Column:
     return (F.col("labels") if labels is None else labels).getItem(name)
 
 
+def promoted(name: str) -> str:
+    """The name of a label's own column, which a source may add to the canonical ones."""
+    return f"label:{name}"
+
+
+def label_of(samples: DataFrame, name: str) -> Column:
+    """The label's value from its own column, if there is one (predicates on it reach the files), else from the map."""
+    return F.col(f"`{promoted(name)}`") if promoted(name) in samples.columns else label(name)
+
+
 def matches(m: Matcher, value: Column | None = None) -> Column:
     value = label(m.name) if value is None else value
     if m.op == EQ:
-        return F.coalesce(value == m.value, F.lit(False))
+        return value == m.value  # null, for a missing label, selects nothing
     if m.op == NEQ:
         return ~value.eqNullSafe(m.value)
     found = F.coalesce(value.rlike(java_pattern(m.value)), F.lit(False))
     return found if m.op == RE else ~found
 
 
-def selected(selector: Selector) -> Column:
-    return functools.reduce(operator.and_, map(matches, selector.matchers), F.lit(True))
+def selected(selector: Selector, samples: DataFrame | None = None) -> Column:
+    value = lambda name: label(name) if samples is None else label_of(samples, name)
+    return functools.reduce(operator.and_, [matches(m, value(m.name)) for m in selector.matchers], F.lit(True))
 
 
 def in_range(query: Query, ts: str = "ts_ms") -> Column:

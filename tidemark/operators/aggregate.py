@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket, label
+from ..functions.columns import bucket, label_of
 from ..plans.model import Aggregation, QueryError
 
 
@@ -50,7 +50,7 @@ def aggregate_by(samples: DataFrame, query: Aggregation) -> DataFrame:
     """The same with a column for each label in ``by``: flat keys, which hash and compare faster than maps."""
     if query.without:
         raise QueryError("flat groups have by-labels only")
-    return samples.groupBy(*[label(x).alias(x) for x in query.by], bucket(query.step).alias("bucket_ms")).agg(FUNCTIONS[query.fn]("value").alias("value"))
+    return samples.groupBy(*[label_of(samples, x).alias(x) for x in query.by], bucket(query.step).alias("bucket_ms")).agg(FUNCTIONS[query.fn]("value").alias("value"))
 
 
 def summary(samples: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import label, selected
+from ..functions.columns import label_of, selected
 from ..plans.model import Selector
 
 
 def series(samples: DataFrame, selector: Selector = Selector()) -> DataFrame:
     """The distinct series selected, with their labels."""
-    return samples.where(selected(selector)).groupBy("series_key").agg(F.first("labels").alias("labels"))
+    return samples.where(selected(selector, samples)).groupBy("series_key").agg(F.first("labels").alias("labels"))
 
 
 def series_of_each(samples: DataFrame, *selectors: Selector) -> DataFrame:
@@ -26,7 +26,7 @@ def label_names(samples: DataFrame) -> DataFrame:
 
 
 def label_values(samples: DataFrame, name: str) -> DataFrame:
-    value = label(name)
+    value = label_of(samples, name)
     return samples.select(value.alias("value")).where("value IS NOT NULL").distinct()
 
 

@@ -22,7 +22,7 @@ def select(samples: DataFrame, query: Query) -> DataFrame:
         out = out.where(F.col("metric") == query.selector.metric)
     if "block_start" in samples.columns and not query.unbounded:
         out = out.where((F.col("block_start") <= query.end) & (F.col("block_start") > query.start - F.lit(block_length(samples))))
-    return out.where(selected(query.selector) & in_range(query))
+    return out.where(selected(query.selector, samples) & in_range(query))
 
 
 def block_length(samples: DataFrame) -> int:
@@ -32,7 +32,7 @@ def block_length(samples: DataFrame) -> int:
 
 def instant(samples: DataFrame, selector: Selector, time: int, lookback: int = 0) -> DataFrame:
     """The last sample of each series at ``time`` (or up to ``lookback`` ms before)."""
-    return latest(samples.where(selected(selector) & F.col("ts_ms").between(time - lookback, time)))
+    return latest(samples.where(selected(selector, samples) & F.col("ts_ms").between(time - lookback, time)))
 
 
 def latest(samples: DataFrame, order: str = "ingest_seq") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import bucket, label
+from .functions.columns import bucket, label_of
 from .operators import aggregate as agg
 from .operators import counters, metadata, select
 from .plans.model import Aggregation, Query, Selector
@@ -63,7 +63,7 @@ def time_range(spark, folder):
 @_query(f"WITH {_E} SELECT event_type, user_id, ts_ms, value FROM e WHERE event_type = 'purchase' AND ts_ms BETWEEN {START} AND {END}")
 def exec_query(spark, folder):
     rows = select.select(tables.events(spark, folder), Query(parse('event_value{event_type="purchase"}'), START, END))
-    return rows.select(label("event_type").alias("event_type"), label("user_id").alias("user_id"), "ts_ms", "value")
+    return rows.select(label_of(rows, "event_type").alias("event_type"), label_of(rows, "user_id").alias("user_id"), "ts_ms", "value")
 
 
 @_query(f"WITH {_O} SELECT DISTINCT series_key FROM o WHERE event_type IS NOT NULL")

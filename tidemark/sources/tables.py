@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import series_key
+from ..functions.columns import promoted
 
 
 def samples(df: DataFrame, metric: str, labels: dict[str, Column], ts: str, value: str, seq: Column) -> DataFrame:
-    """``(series_key, labels, ts_ms, value, ingest_seq)`` of a table; null labels are missing ones, times are cut to ms."""
-    pairs = [x for k, c in {"__name__": F.lit(metric), **labels}.items() for x in (F.lit(k), c.cast("string"))]
+    """``(series_key, labels, ts_ms, value, ingest_seq)`` of a table, and a column for each label; null labels are missing ones, times
+    are cut to ms.  As the labels' names are known, the key is put together from columns, without a look at the map."""
+    every = {"__name__": F.lit(metric), **{k: c.cast("string") for k, c in labels.items()}}
+    pairs = [x for k, c in every.items() for x in (F.lit(k), c)]
     full = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
-    out = df.select(full.alias("labels"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ts_ms"), F.col(value).cast("double").alias("value"), seq.alias("ingest_seq"))
-    return out.select(series_key(F.col("labels")).alias("series_key"), "labels", "ts_ms", "value", "ingest_seq")
+    quoted = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    key = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'{k}="'), quoted(every[k]), F.lit('"')) for k in sorted(every)]), F.lit("}"))
+    return df.select(
+        key.alias("series_key"),
+        full.alias("labels"),
+        F.unix_millis(F.col(ts).cast("timestamp")).alias("ts_ms"),
+        F.col(value).cast("double").alias("value"),
+        seq.alias("ingest_seq"),
+        *[c.alias(promoted(k)) for k, c in every.items()],
+    )
 
 
 def events(spark: SparkSession, folder: str, optional: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 #: Vectors in one tree, entries of a page, children of a routing node, queries in a block.
-SHARD, PAGE, FAN, BLOCK = 1 << 15, 64, 24, 4096
+SHARD, PAGE, FAN, BLOCK = 1 << 14, 256, 16, 4096
 _INDEX = "shard long, node int, parent int, pivot array<int>, radius double, to_parent double, most double, vectors array<int>, to_pivot array<double>, ids array<array<long>>"
 _SLACK = 1e-6  # of rounding in bounds, relative to the norms
 
@@ -48,6 +48,18 @@ def _integers(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray
     return np.array(rows, np.int64), out
 
 
+def _parts(v: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
+    """``rows`` in n (a power of two) equal parts: halved again and again, each time between two vectors far from each other, at
+    the median of how much nearer one of them is.  So pages are full however the vectors lie."""
+    if n < 2 or len(rows) < 2:
+        return [rows]
+    x = v[rows]
+    a = x[np.argmax(((x - x[0]) ** 2).sum(1))]
+    b = x[np.argmax(((x - a) ** 2).sum(1))]
+    order = np.argsort(x @ (a - b), kind="stable")
+    return _parts(v, rows[order[: len(rows) // 2]], n // 2) + _parts(v, rows[order[len(rows) // 2 :]], n // 2)
+
+
 def _nodes(vectors: np.ndarray, ids: list[list[int]]) -> Iterator[dict]:
     """The nodes of a tree over distinct vectors, parents before children."""
     v = vectors.astype(np.float64)
@@ -72,15 +84,7 @@ def _nodes(vectors: np.ndarray, ids: list[list[int]]) -> Iterator[dict]:
             "ids": [ids[r] for r in rows] if leaf else None,
         }
         if not leaf:
-            # children: around pivots far from each other, each row to the nearest
-            fan = min(FAN, -(-len(rows) // PAGE))
-            near, best = np.zeros(len(rows), np.int64), away
-            for k in range(1, fan):
-                d = np.sqrt(((v[rows] - v[rows[np.argmax(best)]]) ** 2).sum(1))
-                closer = d < best
-                near[closer], best = k, np.minimum(d, best)
-            parts = [rows[near == k] for k in range(fan)]
-            open_ += [(x, number, pivot) for x in parts if len(x)]
+            open_ += [(x, number, pivot) for x in _parts(v, rows, min(FAN, 1 << (-(-len(rows) // PAGE) - 1).bit_length()))]
         number += 1
 
 
@@ -180,8 +184,11 @@ class _Tree:
             else:
                 v, norms, away, ids = self.pages[node]
                 some = np.flatnonzero(np.minimum(qc + length * away, (qq + norms - (dq - away) ** 2) / 2) + slack >= floor)
-                scores = v[some] @ q
-                for j in np.argsort(-scores, kind="stable").tolist():
+                if not len(some):
+                    continue
+                scores = v[some] @ q if 2 * len(some) < len(v) else (v @ q)[some]
+                able = np.flatnonzero(scores >= floor)
+                for j in able[np.argsort(-scores[able], kind="stable")].tolist():
                     score = int(scores[j])
                     if score < floor:
                         break

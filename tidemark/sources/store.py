@@ -52,6 +52,17 @@ def retention_report(blocks: DataFrame, now: int, max_age: int = RETENTION) -> D
     )
 
 
+def compaction_windows(spans: list[tuple[int, int]], duration: int, least: int = 3) -> list[list[tuple[int, int]]]:
+    """Blocks (first and last time) to compact together: a window opens at a block and closes at the first one that starts
+    ``duration`` or more later; windows of fewer than ``least`` blocks wait.  Spans of blocks are metadata, some thousands at most."""
+    windows: list[list[tuple[int, int]]] = []
+    for span in sorted(spans):
+        if not windows or span[0] >= windows[-1][0][0] + duration:
+            windows.append([])
+        windows[-1].append(span)
+    return [w for w in windows if len(w) >= least]
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str, block_ms: int = LEVELS[0]):
         self.spark, self.folder, self.block_ms = spark, folder.rstrip("/"), block_ms
@@ -101,10 +112,11 @@ class Store:
             out = out.unionByName(x)
         return out.withMetadata("block_start", {"block_ms": self.block_ms})
 
-    def compact(self) -> None:
-        """One generation of sorted blocks, with the last written value of each series and time."""
+    def compact(self, least: int = 2) -> None:
+        """One generation of sorted blocks, with the last written value of each series and time, if ``least`` appends or more have
+        come together."""
         number, folders = self._generation()
-        if len(folders) < 2:
+        if len(folders) < least:
             return
         every = self.read()
         names = every.groupBy("series_key").agg(F.first("labels").alias("labels"))

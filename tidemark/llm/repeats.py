@@ -40,7 +40,7 @@ WINDOW = 20
 PREFIX = 6
 HEAVY = 256
 #: Rows of prefix groups whose subtrees are built at a time; a group is never split.
-BATCH_ROWS = 40_000
+BATCH_ROWS = 20_000
 
 _RUNS = "key long, doc_id long, row long, start int, n int, words binary"
 
@@ -140,7 +140,7 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, row = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
-            for chunk in chunks(batch.column("text"), 16 << 20):
+            for chunk in chunks(batch.column("text"), 4 << 20):
                 s, e, at, start, anchor, grams, h = _windows(chunk, window, prefix)
                 if not len(start):
                     continue

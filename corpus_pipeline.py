@@ -6,31 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, pieces, pseudonyms, quality
-from tidemark.llm.work import table, written
+from tidemark.llm.work import for_texts, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a quality score of 0.7 or more."""
+    for_texts(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more, the smallest id."""
+    for_texts(spark)
     return jaccard.keep_one(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten words in a row of a benchmark item."""
+    for_texts(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal numbers, dates and addresses."""
+    for_texts(spark)
     return pseudonyms.pseudonymise(docs, n_chars="n_chars")
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sampled segmentation of each document: ``piece_ids`` and ``n_pieces``."""
+    for_texts(spark)
     return pieces.encode(docs, also=("lang", "source")).withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
 

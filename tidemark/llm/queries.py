@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, mtree, pieces, pseudonyms, quality, repeats, rollups, toxicity, warc
 from .labels import is_fold
-from .work import shared_dir, table, written
+from .work import for_texts, shared_dir, table, written
 
 
 def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,18 +92,22 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
-    "op2_suffix_tree_dedup": op2_suffix_tree_dedup,
-    "op3_mtree_topk": op3_mtree_topk,
-    "op4_factorisation_machine": op4_factorisation_machine,
-    "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
-    "op6_suffix_decontamination": op6_suffix_decontamination,
-    "op7_ngram_jaccard": op7_ngram_jaccard,
-    "op8_sampled_pieces": op8_sampled_pieces,
-    "op9_token_rollups": op9_token_rollups,
-    "op10_warc_derivatives": op10_warc_derivatives,
-}
+def _registered(*found: Callable[[SparkSession, str], DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: (lambda spark, sf_dir, f=f: f(for_texts(spark), sf_dir)) for f in found}
+
+
+QUERIES = _registered(
+    op1_feistel_pseudonyms,
+    op2_suffix_tree_dedup,
+    op3_mtree_topk,
+    op4_factorisation_machine,
+    op5_kneser_ney_toxicity,
+    op6_suffix_decontamination,
+    op7_ngram_jaccard,
+    op8_sampled_pieces,
+    op9_token_rollups,
+    op10_warc_derivatives,
+)
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -28,3 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Rows of an Arrow batch: texts are long, and a batch is held in the JVM and in Python at once.
+BATCH = 2000
+
+
+def for_texts(spark: SparkSession) -> SparkSession:
+    """Sets the rows of Arrow batches for tables of texts, unless the user has set them."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return spark

@@ -4,13 +4,16 @@ Values are found by one pattern, validated, and replaced by a keyed permutation
 values get equal pseudonyms in every document, different values different ones, and a pseudonym is again a valid value:
 
 * card numbers (13 to 19 digits that pass the Luhn test): the payload is permuted, the check digit made anew;
-* phone numbers (international, or with an area code) and social security numbers: the digits after the country code;
+* phone numbers (international with 8 to 15 digits, or with an area code) and social security numbers: the digits after the
+  country code;
 * dates (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy; 1900 to 2099): permuted among the days of these years;
 * IPv4 addresses (octets up to 255): permuted among all addresses;
 * e-mail addresses: letters among letters and digits among digits of the part before the "@", in lower case.
 
-Blanks and marks inside a number stay where they are and do not matter for its value.  What looks alike and is not valid stays
-as it is.  Each of ``ROUNDS`` double rounds adds to either half a number that SHA-256 makes of key, kind, round and other half.
+Blanks and marks inside a number stay where they are and do not matter for its value.  A number does not run into the value that
+follows after a blank, and card numbers are found among other groups of digits.  Where numbers of a country differ in length,
+a plain group of digits that follows after a blank counts as the phone number's own.  What looks alike and is not valid stays as
+it is.  Each of ``ROUNDS`` double rounds adds to either half a number that SHA-256 makes of key, kind, round and other half.
 
 The key is a literal of the plan: give one derived for the data set, not a master secret.  A null text stays null, an empty
 text empty; other columns are not looked at.
@@ -27,13 +30,29 @@ from pyspark.sql import functions as F
 KEY = "tidemark"
 ROUNDS = 4
 
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+_IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+_DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"
+_NATIONAL = r"(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9-])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: Card numbers as they are printed.
+_PRINTED = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})"
+#: Values that a number does not run into over a blank.
+_NEXT = "|".join(f"(?:{x})" for x in (_EMAIL, _IP, _DATE, _NATIONAL, _SSN))
+_DIGIT = r"[ .()-]{0,2}[0-9]"
+#: 8 to 15 digits, written out as a look-behind needs it.
+_E164 = _DIGIT * 8 + f"(?:{_DIGIT}" * 7 + ")?" * 7
+#: Countries whose numbers all have as many digits: what follows them over a blank is another number.
+_PLANS = {"1": 10, "7": 10, "33": 9, "34": 9, "45": 8, "48": 9, "91": 10}
+_WHOLE = "|".join(code + _DIGIT * n for code, n in _PLANS.items())
+_GROUPS = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:(?:[.-]| (?!(?<=\+{_E164} )(?:{_NEXT}|{_PRINTED}(?![0-9]))))?[0-9]{{2,5}}){{1,4}}"
 _KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9-])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "email": _EMAIL,
+    "ip": _IP,
+    "date": _DATE,
+    "phone": rf"(?<![0-9A-Za-z+])(?:{_GROUPS}(?<=\+(?:{_WHOLE}))(?![0-9-])|{_GROUPS}(?<=\+{_E164})(?![0-9-])|{_NATIONAL})",
+    "ssn": _SSN,
+    "card": rf"(?<![0-9])[0-9](?:(?:-| (?!{_NEXT}))?[0-9]){{12,}}+",
 }
 PATTERN = "|".join(f"(?:{x})" for x in _KINDS.values())
 _DATES = (("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy"))
@@ -96,12 +115,58 @@ def _digits(value: Column) -> Column:
 
 
 def _card(key: str, value: Column) -> Column:
-    def of(d: Column) -> Column:
-        payload = permuted_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
-        checked = _let(payload, lambda p: F.concat(p, ((10 - _luhn(p, 0) % 10) % 10).cast("string")))
-        return F.when(F.length(d).between(13, 19) & (_luhn(d, 1) % 10 == 0), _written(value, checked))
+    """The card numbers in a run of digit groups, and how many there are.  From each group on the longest valid one counts: as
+    cards are printed, or, where the run or what is left of it begins, in any groups (the longest; a shorter one without
+    single digits)."""
 
-    return _let(_digits(value), of)
+    def made(v: Column) -> Column:
+        def of(d: Column) -> Column:
+            payload = permuted_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
+            return _written(v, _let(payload, lambda p: F.concat(p, ((10 - _luhn(p, 0) % 10) % 10).cast("string"))))
+
+        return _let(_digits(v), of)
+
+    def taken(groups: Column) -> Column:
+        n = F.size(groups)
+
+        def windows(i: Column) -> Column:
+            text = lambda k: F.regexp_replace(F.array_join(F.slice(groups, i, k), ""), "^[ -]", "")
+            every = F.transform(F.sequence(F.least(F.lit(19), n - i + 1), F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), text(k).alias("v")))
+            return F.filter(every, lambda w: F.length(_digits(w["v"])) <= 19)
+
+        def step(x: Column, i: Column) -> Column:
+            def choose(ws: Column) -> Column:
+                longest = F.get(ws, F.lit(0))["k"]
+                begins = i == x["begin"]
+
+                def valid(w: Column) -> Column:
+                    shape = w["v"].rlike(f"^{_PRINTED}$") | (begins & ((w["k"] == longest) | ~w["v"].rlike("(?:^|[ -])[0-9](?:[ -]|$)")))
+                    return (F.length(_digits(w["v"])) >= 13) & shape & (_luhn(_digits(w["v"]), 1) % 10 == 0)
+
+                def after(w: Column) -> Column:
+                    end = i + w["k"]
+                    one = F.struct(x["end"].alias("from"), i.alias("at"), made(w["v"]).alias("v"))
+                    none = F.struct((i + 1).alias("next"), F.when(begins, i + F.coalesce(longest, F.lit(1))).otherwise(x["begin"]).alias("begin"), x["end"].alias("end"), x["taken"].alias("taken"))
+                    return F.when(w.isNull(), none).otherwise(F.struct(end.alias("next"), end.alias("begin"), end.alias("end"), F.concat(x["taken"], F.array(one)).alias("taken")))
+
+                return _let(F.get(F.filter(ws, valid), F.lit(0)), after)
+
+            return F.when(i < x["next"], x).otherwise(_let(windows(i), choose))
+
+        start = F.struct(*[F.lit(1).alias(c) for c in ("next", "begin", "end")], F.array().cast("array<struct<from:int,at:int,v:string>>").alias("taken"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+    def shown(groups: Column) -> Column:
+        part = lambda a, b: F.array_join(F.slice(groups, a, b - a), "")
+
+        def of(x: Column) -> Column:
+            changed = F.transform(x["taken"], lambda t: F.concat(part(t["from"], t["at"]), F.regexp_extract(F.element_at(groups, t["at"]), "^[ -]?", 0), t["v"]))
+            text = F.concat(F.array_join(changed, ""), part(x["end"], F.size(groups) + 1))
+            return F.struct(F.when(F.size(x["taken"]) > 0, text).alias("value"), F.size(x["taken"]).alias("n"))
+
+        return _let(taken(groups), of)
+
+    return _let(F.split(value, "(?=[ -])"), shown)
 
 
 def _phone(key: str, value: Column) -> Column:
@@ -168,7 +233,7 @@ def _email(key: str, value: Column) -> Column:
 
 
 def pseudonym(key: str, value: Column) -> Column:
-    """Kind and pseudonym of a string that the pattern has found; null if it is not valid."""
+    """Kind, pseudonym (null if it is not valid) and number of values of a string that the pattern has found."""
     kinds = {
         "email": (value.contains("@"), _email),
         "ip": (value.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), _ip),
@@ -177,10 +242,11 @@ def pseudonym(key: str, value: Column) -> Column:
         "phone": (value.rlike(r"^(?:\+|\(|[0-9]{3}-[0-9]{3}-[0-9]{4}$)"), _phone),
         "card": (F.lit(True), _card),
     }
-    kind, out = F.lit(None).cast("string"), F.lit(None).cast("string")
+    kind, out = F.lit(None).cast("string"), F.lit(None).cast("struct<value:string,n:int>")
     for name, (test, make) in reversed(kinds.items()):
-        kind, out = F.when(test, F.lit(name)).otherwise(kind), F.when(test, make(key, value)).otherwise(out)
-    return F.struct(kind.alias("kind"), out.alias("value"))
+        new = make(key, value) if name == "card" else F.struct(make(key, value).alias("value"), F.lit(1).alias("n"))
+        kind, out = F.when(test, F.lit(name)).otherwise(kind), F.when(test, new).otherwise(out)
+    return _let(out, lambda x: F.struct(kind.alias("kind"), x["value"].alias("value"), x["n"].alias("n")))
 
 
 def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY, counts: str | None = None, n_chars: str | None = None) -> DataFrame:
@@ -200,6 +266,7 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY, counts:
     if n_chars:
         columns[n_chars] = (F.col(n_chars) + F.coalesce(F.length(new) - F.length(text), F.lit(0))).cast(docs.schema[n_chars].dataType)
     if counts:
-        valid = F.transform(F.filter(made, lambda x: x["value"].isNotNull()), lambda x: x["kind"])
-        columns[counts] = F.map_from_entries(F.transform(F.array_distinct(valid), lambda k: F.struct(k, F.size(F.filter(valid, lambda x: x == k)))))
+        valid = F.filter(made, lambda x: x["value"].isNotNull())
+        number = lambda k: F.aggregate(F.filter(valid, lambda x: x["kind"] == k), F.lit(0), lambda n, x: n + x["n"])
+        columns[counts] = F.map_from_entries(F.transform(F.array_distinct(F.transform(valid, lambda x: x["kind"])), lambda k: F.struct(k, number(k))))
     return out.withColumns(columns).drop(found, between, made, new)

@@ -282,6 +282,22 @@ def test_shared_counts_cover_all_texts(spark):
     assert np.isclose(shared.sum(), 1) and at("b") > 2 * at("e") > at("unseen")
 
 
+def test_shared_counts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PAIRS", 100)
+    r = random.Random(6)
+    texts = [f"p{i} hot" for i in range(1000)] * 2 + [prose(r, r.randint(1, 60)) for _ in range(300)] + ["", None, "alone"]
+    shared = toxicity.shared_counts(docs_of(spark, texts).repartition(3))
+    words = [alnum(t) for t in texts]
+    before = {w: set() for own in words for w in own}
+    for own in words:
+        for a, b in zip(own, own[1:]):
+            before[b].add(a)
+    total = sum(map(len, before.values())) + (len(before) + 1) / 2
+    for w in ("hot", "w0", "w7", "p3", "alone", "unseen"):
+        assert np.isclose(shared[hash_bytes(w) % toxicity.SHARED_WORDS], (len(before.get(w, ())) + 0.5) / total)
+    assert np.isclose(shared.sum(), 1)
+
+
 # --- 6
 
 

@@ -11,9 +11,10 @@ A text's length-normalised log-likelihoods are compared over the whole text, ove
 worst word; a logistic calibration turns these differences into a probability.
 
 The class counts come from at most ``SAMPLE`` labelled rows outside the held-out fold (the documented bound), as a grouped
-sum with the usual count cutoffs.  The shared counts come from every row: each word has 64 marks, one of which each preceding
-word sets (linear counting), joined with ``bit_or``; words share ``SHARED_WORDS`` rows, so that the table is bounded.  Scoring is a
-pass without shuffle.  The calibration scores each half of the sample with the counts of the other half.
+sum with the usual count cutoffs.  The shared counts come from every row and are exact: distinct pairs of
+words (as 64-bit hashes), counted in a grouped sum and kept as a table, of which the driver gets the rows of the sample's words
+and the totals.  Scoring is a pass without shuffle.  The calibration scores each half of the sample with the counts of the other
+half.
 
 A null or empty text has no words; it gets what the calibration gives a text without evidence.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import labels as labelled
 from .words import NOT_ALNUM, U64, chunks, mix64, row_of
+from .work import written
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 24_000
@@ -40,7 +42,10 @@ BURST = (0.0, 0.005)
 WINDOW = 4
 #: Words in fewer texts of the sample are left to the backoff.
 CUTOFF = 2
-SHARED_WORDS = 1 << 18
+#: Words are told apart by the whole of their hashes.
+SHARED_WORDS = 1 << 64
+#: Words of a task whose pairs are made distinct at a time.
+PAIRS = 1 << 20
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 
@@ -60,27 +65,61 @@ def _inner(at: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(follows)
 
 
-def shared_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """For each of ``SHARED_WORDS`` rows the (estimated) number of distinct preceding words, over all of ``docs``."""
+class Continuations:
+    """The shared distribution: a word's share of the distinct pairs of a word and the one before it, each word with half a pair
+    more, and so all unseen words together.  ``counts``: ``word``, ``n`` of every word of the corpus, a table that stays on disk."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+        self.pairs, self.words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The probabilities of some words (distinct hashes in order)."""
+        wanted = self.counts.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64)}))
+        found = self.counts.join(F.broadcast(wanted), "word").toArrow()
+        n = np.zeros(len(words))
+        n[np.searchsorted(words, found["word"].to_numpy().view(U64))] = found["n"].to_numpy()
+        return (n + 0.5) / (self.pairs + 0.5 * (self.words + 1))
+
+    def __getitem__(self, word: int) -> float:
+        return float(self.of(np.array([word], U64))[0])
+
+    def sum(self) -> float:
+        n = self.counts.agg(F.coalesce(F.sum(F.col("n") + 0.5), F.lit(0.0))).first()[0]
+        return (n + 0.5) / (self.pairs + 0.5 * (self.words + 1))
+
+
+def shared_counts(docs: DataFrame, text: str = "text") -> Continuations:
+    """The number of distinct preceding words of every word, over all of ``docs``."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def once() -> pa.RecordBatch:
+            word, before, first = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(mix64(word ^ mix64(before)) ^ first.astype(U64))
+            word, before, first = word[order], before[order], first[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (first[1:] != first[:-1])
+            word, before, first = word[new], before[new], first[new]
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(before.view(np.int64), mask=first)], names=["word", "before"])
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SHARED_WORDS, U64)
         for batch in batches:
             for _, words, at in _tokens(batch.column("text")):
-                i = _inner(at, len(words))
-                row = (words[i] % U64(SHARED_WORDS)).astype(np.int64)
-                mark = mix64(words[i - 1]) >> U64(58)
-                both = np.unique((row.astype(U64) << U64(6)) | mark)
-                np.bitwise_or.at(seen, (both >> U64(6)).astype(np.int64), U64(1) << (both & U64(63)))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some].view(np.int64))], names=["row", "marks"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(marks, "row int, marks long")
-    free = 64 - F.bit_count("marks")
-    found = rows.groupBy("row").agg(F.bit_or("marks").alias("marks")).select("row", F.when(free == 0, 64 * 5.0).otherwise(-64 * F.log(free / 64.0)).alias("n")).toArrow()
-    out = np.full(SHARED_WORDS, 0.5)
-    out[found["row"].to_numpy()] += found["n"].to_numpy()
-    return out / out.sum()
+                if not len(words):
+                    continue
+                first = np.ones(len(words), bool)
+                first[_inner(at, len(words))] = False
+                held.append((words, np.where(first, U64(0), np.roll(words, 1)), first))
+                if sum(len(x[0]) for x in held) >= PAIRS:
+                    yield once()
+                    held.clear()
+        if held:
+            yield once()
+
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pairs, "word long, before long")
+    # a common word's predecessors are distinct pairs of many tasks before they are counted
+    return Continuations(written(rows.distinct().groupBy("word").agg(F.count("before").alias("n")), "continuations"))
 
 
 def class_counts(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +153,8 @@ def class_counts(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class KneserNey:
-    """Log-likelihood ratios, toxic against ordinary; ``half``: count only that half of the sample (None: all)."""
+    """Log-likelihood ratios, toxic against ordinary; ``shared``: the shared probabilities of the words of ``counts``; ``half``:
+    count only that half of the sample (None: all)."""
 
     def __init__(self, counts: tuple[np.ndarray, ...], shared: np.ndarray, half: int | None):
         pick = lambda n: n.reshape(-1, 2, 2).sum(2) if half is None else n.reshape(-1, 2, 2)[:, :, half]
@@ -122,10 +162,10 @@ class KneserNey:
         keep = n.sum(1) > 0
         self.words, n = words[keep], n[keep]
         pooled = np.maximum(n.sum(1) - DISCOUNT[0], 0) / total.sum()
-        continued = shared * (1 - pooled.sum())
+        continued = shared[keep] * (1 - pooled.sum())
         less = np.maximum(n - np.maximum(DISCOUNT[1:], BURST * pick(counts[3])[0]), 0)
         rest = np.maximum(1e-6, 1 - less.sum(0) / total)  # what the words of a class leave to the shared distribution
-        p = less / total + rest * (pooled + continued[(self.words % U64(SHARED_WORDS)).astype(np.int64)])[:, None]
+        p = less / total + rest * (pooled + continued)[:, None]
         self.known = np.log(p[:, 1] / p[:, 0])
         self.unseen = float(np.log(rest[1] / rest[0]))  # the shared probability of an unseen word cancels out
 
@@ -176,7 +216,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1e-2
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", most: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Toxicity:
     spark = docs.sparkSession
     chosen = labelled.sample(docs, labels, label, folds, held_out, most, text=text)
-    shared, counts = shared_counts(docs, text), class_counts(chosen)
+    counts = class_counts(chosen)
+    shared = shared_counts(docs, text).of(counts[0])
     halves = spark.sparkContext.broadcast([KneserNey(counts, shared, 1), KneserNey(counts, shared, 0)])  # by the half that is scored
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -384,6 +384,32 @@ def test_clusters(spark, monkeypatch, k, percent, short, group, batch):
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, _, c in expected if i == c]
 
 
+@pytest.mark.parametrize("block", [3, 20])
+def test_a_large_list_of_many_roots(spark, monkeypatch, block):
+    """No comparison has more than two blocks' members, a root's own members are not compared, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(12)
+    passage = prose(r, 40, 3000)
+    texts = [passage + " " + prose(r, r.randint(8, 60), 3000) for _ in range(60)]
+    texts += [" ".join([*x.split()[:-1], f"z{i}"]) for i, x in enumerate(texts[:30])] + [texts[0] + f" y{i}" for i in range(40)]
+    ids = list(range(len(texts)))
+    random.Random(4).shuffle(ids)
+    found = jaccard.clusters(docs_of(spark, texts, ids).repartition(3))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == brute_clusters(list(zip(ids, texts)))
+    many = [(i, i, 100 + i % 7, i if i < 50 else 0) for i in range(200)]
+    nodes = spark.createDataFrame([(s1, rep, n) for s1, rep, n, _ in many], "s1 long, rep long, n long")
+    roots = spark.createDataFrame([(rep, root) for _, rep, _, root in many if rep != root], "node long, root long")
+    members = spark.createDataFrame([(s1, t) for s1, _, _, root in many for t in (1, 2) if t == 1 or root == 0], "a long, b long")
+    rows, pairs = (x.collect() for x in jaccard._blocks(members, nodes, roots, 85))
+    blocks = collections.defaultdict(list)
+    for x in rows:
+        blocks[x.token, x.block].append((x.s1, x.root))
+    seen = {frozenset((a, b)) for p in pairs for a, i in blocks[p.token, p.x] for b, j in blocks[p.token, p.y] if i != j}
+    assert {x.token for x in rows} == {1} and max(map(len, blocks.values())) < 4 * block + 12
+    assert seen == {frozenset((a, b)) for a, _, _, i in many for b, _, _, j in many if i != j}
+    assert all(len({i for _, i in blocks[p.token, p.x] + blocks[p.token, p.y]}) > 1 for p in pairs)
+
+
 def test_clusters_edge_cases(spark):
     t = " ".join(f"v{i}" for i in range(30))
     docs = docs_of(spark, [t, t, t, "other", None], [7, 7, None, 7, None])

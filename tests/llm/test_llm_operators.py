@@ -419,6 +419,15 @@ def test_clusters_edge_cases(spark):
     assert jaccard.clusters(docs_of(spark, [])).count() == 0
 
 
+def test_only_repeated_ids_are_sorted(spark):
+    docs = docs_of(spark, ["a b", "c d", "e f", "g h", "i j"], [7, 7, None, None, 8])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == [("7", "a b"), ("8", "i j"), ("None", "e f"), ("None", "g h")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Union" in plan and "LeftSemi" in plan[plan.index("Window [") :]
+
+
 def test_divide_skip():
     r = np.random.default_rng(3)
     for _ in range(60):

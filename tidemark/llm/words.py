@@ -6,6 +6,7 @@ bytes.  Nothing here knows about Spark except :func:`arrow_chunks`, which reads
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,20 +37,9 @@ def hash_bytes(text: str | bytes) -> int:
     return int(one.word_hashes(np.array([0]), np.array([len(raw)]))[0])
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = U64(0x9DDFEA08EB382D69)
-_BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(max(n, CHUNK_BYTES + 4096), base, U64)]))
-        if n <= 4 * CHUNK_BYTES:
-            _powers[name] = have
-    return have[:n]
+#: Bytes of a word beyond which hashlib hashes it.
+_LONG = 512
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 #: Separators of words: ASCII white space.
@@ -94,12 +84,22 @@ class Chunk:
         return s, e, np.searchsorted(s, self.offsets)
 
     def word_hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, U64)
-            np.cumsum(_BYTE[self.data] * _power(_BASE, "base", n), out=total[1:])
-            return mix64((total[e] - total[s]) * _power(_BASE_INVERSE, "inverse", n + 1)[s] + (e - s).astype(U64))
+        """A 64-bit hash of each word's bytes: eight at a time are mixed into what those before gave, so that words of equal length
+        up to eight bytes never share one and no others do by their structure."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))
+        left = e - s
+        out = mix64(left.astype(U64) + U64(0x9E3779B97F4A7C15))
+        active, at = np.flatnonzero(left <= _LONG), s
+        if len(active) < len(left):
+            for i in np.flatnonzero(left > _LONG).tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(self.data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+            at, left = s[active], left[active]
+        while len(active):
+            out[active] = mix64(out[active] ^ (eight[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            active, at, left = active[more], at[more] + 8, left[more] - 8
+        return out
 
 
 def row_of(at: np.ndarray) -> np.ndarray:
@@ -115,6 +115,7 @@ def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = words[:n].copy()
         for j in range(1, k):
+            out ^= out >> U64(32)
             out *= U64(0xD6E8FEB86659FD93)
             out += words[j : j + n]
         return mix64(out)

@@ -7,14 +7,16 @@ under both models until a class has seen it in more texts than the discount take
 once in each), as words come in bursts.  The models stop at words: with class bigrams on top, held-out AUC fell from 0.998 to
 0.974 on the check tables, as one class is ten times the other and its bigrams leave it less to back off with.
 
+The vocabulary is that of the labelled sample; the pairs of all other words are counted and summed up as those of one more word.
+
 A text's length-normalised log-likelihoods are compared over the whole text, over its worst ``WINDOW`` words and over its
 worst word; a logistic calibration turns these differences into a probability.
 
 The class counts come from at most ``SAMPLE`` labelled rows outside the held-out fold (the documented bound), as a grouped
-sum with the usual count cutoffs.  The shared counts come from every row and are exact: distinct pairs of
-words (as 64-bit hashes), counted in a grouped sum and kept as a table, of which the driver gets the rows of the sample's words
-and the totals.  Scoring is a pass without shuffle.  The calibration scores each half of the sample with the counts of the other
-half.
+sum with the usual count cutoffs.  The shared counts come from every row and are exact: each task makes its pairs of words
+distinct and packs them by bucket (those of two words of the vocabulary as numbers, others as 64-bit hashes); a word's pairs lie in
+many buckets, so that no common word meets in one task; the buckets are united, and the driver gets a count for each word of the
+vocabulary.  Scoring is a pass without shuffle.  The calibration scores each half of the sample with the counts of the other half.
 
 A null or empty text has no words; it gets what the calibration gives a text without evidence.
 """
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 
 from . import labels as labelled
 from .words import NOT_ALNUM, U64, chunks, mix64, row_of
-from .work import written
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 24_000
@@ -42,10 +43,10 @@ BURST = (0.0, 0.005)
 WINDOW = 4
 #: Words in fewer texts of the sample are left to the backoff.
 CUTOFF = 2
-#: Words are told apart by the whole of their hashes.
-SHARED_WORDS = 1 << 64
-#: Words of a task whose pairs are made distinct at a time.
-PAIRS = 1 << 20
+#: Pairs that are made distinct at a time, and distinct pairs that a task holds.
+PAIRS, HELD = 1 << 21, 1 << 22
+#: Buckets of a word's pairs.
+SALTS = 16
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 
@@ -67,59 +68,114 @@ def _inner(at: np.ndarray, n: int) -> np.ndarray:
 
 class Continuations:
     """The shared distribution: a word's share of the distinct pairs of a word and the one before it, each word with half a pair
-    more, and so all unseen words together.  ``counts``: ``word``, ``n`` of every word of the corpus, a table that stays on disk."""
-
-    def __init__(self, counts: DataFrame):
-        self.counts = counts
-        self.pairs, self.words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    more.  ``words``: the vocabulary (hashes, in order); ``n``: the pairs of each and, at the end, of all other words together."""
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        """The probabilities of some words (distinct hashes in order)."""
-        wanted = self.counts.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64)}))
-        found = self.counts.join(F.broadcast(wanted), "word").toArrow()
-        n = np.zeros(len(words))
-        n[np.searchsorted(words, found["word"].to_numpy().view(U64))] = found["n"].to_numpy()
-        return (n + 0.5) / (self.pairs + 0.5 * (self.words + 1))
+    def __init__(self, words: np.ndarray, n: np.ndarray):
+        self.words, p = words, (n + 0.5) / (n + 0.5).sum()
+        self.p, self.other = p[:-1], float(p[-1])
 
     def __getitem__(self, word: int) -> float:
-        return float(self.of(np.array([word], U64))[0])
+        i = int(np.searchsorted(self.words, U64(word)))
+        return float(self.p[i]) if i < len(self.words) and self.words[i] == word else self.other
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers in order: their differences, the bytes of each weight together, compressed."""
+    return pa.compress(np.diff(codes, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    plain = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(plain.reshape(8, n).T).view(U64).ravel())
 
-    def sum(self) -> float:
-        n = self.counts.agg(F.coalesce(F.sum(F.col("n") + 0.5), F.lit(0.0))).first()[0]
-        return (n + 0.5) / (self.pairs + 0.5 * (self.words + 1))
 
+class _Distinct:
+    """Distinct numbers of those added, in order, and what came with each."""
 
-def shared_counts(docs: DataFrame, text: str = "text") -> Continuations:
-    """The number of distinct preceding words of every word, over all of ``docs``."""
+    def __init__(self):
+        self.codes, self.of = np.zeros(0, U64), np.zeros(0, U64)
+        self.fresh, self.n = [], 0
+
+    def add(self, codes: np.ndarray, of: np.ndarray) -> None:
+        self.fresh.append((codes, of))
+        self.n += len(codes)
+        if self.n >= PAIRS:
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.fresh:
+            codes, of = (np.concatenate(x) for x in zip((self.codes, self.of), *self.fresh))
+            self.codes, first = np.unique(codes, return_index=True)
+            self.of, self.fresh, self.n = of[first], [], 0
+        return self.codes, self.of
+
+
+def shared_counts(docs: DataFrame, words: np.ndarray, text: str = "text") -> Continuations:
+    """The number of distinct words before each of ``words`` (hashes, in order), and before all others, over all of ``docs``."""
+    spark = docs.sparkSession
+    size = U64(len(words) + 1)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = U64(4 * tasks)
+    shipped = spark.sparkContext.broadcast(words)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        known = shipped.value
+        held = [_Distinct(), _Distinct()]
+
+        def dealt(kind: int) -> pa.RecordBatch:
+            codes, of = held[kind].all()
+            held[kind] = _Distinct()
+            bucket = (mix64(of * U64(SALTS) + mix64(codes % size) % U64(SALTS)) if kind == 0 else codes) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bucket, codes, of = bucket[order], codes[order], of[order]
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            codes, of = np.split(codes, begin[1:]), np.split(of, begin[1:])
+            m = len(begin)
+            words = pa.array([_packed(np.cumsum(x)) for x in of], pa.binary()) if kind else pa.nulls(m, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(np.full(m, kind, np.int8)), pa.array([len(x) for x in codes], pa.int32()), pa.array([_packed(x) for x in codes], pa.binary()), words], names=["bucket", "kind", "n", "pairs", "words"])
 
-        def once() -> pa.RecordBatch:
-            word, before, first = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(mix64(word ^ mix64(before)) ^ first.astype(U64))
-            word, before, first = word[order], before[order], first[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (first[1:] != first[:-1])
-            word, before, first = word[new], before[new], first[new]
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(before.view(np.int64), mask=first)], names=["word", "before"])
+        for batch in batches:
+            for _, own, at in _tokens(batch.column("text")):
+                code = np.full(len(own), len(known), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    code = np.where(known[place] == own, place, len(known))
+                k = _inner(at, len(own))
+                word, before = code[k].astype(U64), code[k - 1].astype(U64)
+                inside = (word < size - U64(1)) & (before < size - U64(1))
+                held[0].add(word[inside] * size + before[inside], word[inside])
+                k = k[~inside]
+                held[1].add(mix64(own[k] ^ mix64(own[k - 1] + U64(1))), word[~inside])
+                for kind in (0, 1):
+                    if len(held[kind].codes) >= HELD:
+                        yield dealt(kind)
+        for kind in (0, 1):
+            if len(held[kind].all()[0]):
+                yield dealt(kind)
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = _Distinct(), None
+
+        def counted() -> pa.RecordBatch:
+            word, n = np.unique(held.all()[1], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
         for batch in batches:
-            for _, words, at in _tokens(batch.column("text")):
-                if not len(words):
-                    continue
-                first = np.ones(len(words), bool)
-                first[_inner(at, len(words))] = False
-                held.append((words, np.where(first, U64(0), np.roll(words, 1)), first))
-                if sum(len(x[0]) for x in held) >= PAIRS:
-                    yield once()
-                    held.clear()
-        if held:
-            yield once()
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pairs, "word long, before long")
-    # a common word's predecessors are distinct pairs of many tasks before they are counted
-    return Continuations(written(rows.distinct().groupBy("word").agg(F.count("before").alias("n")), "continuations"))
+            for bucket, kind, n, packed, of in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "n", "pairs", "words"))):
+                if key not in (None, (bucket, kind)):
+                    yield counted()
+                    held = _Distinct()
+                key, codes = (bucket, kind), _unpacked(packed, n)
+                held.add(codes, np.diff(_unpacked(of, n), prepend=U64(0)) if kind else codes // size)
+        if key is not None:
+            yield counted()
+
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pairs, "bucket int, kind byte, n int, pairs binary, words binary")
+    rows = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(united, "word long, n long")
+    found = rows.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(int(size))
+    n[found["word"].to_numpy()] = found["n"].to_numpy()
+    return Continuations(words, n)
 
 
 def class_counts(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str
     spark = docs.sparkSession
     chosen = labelled.sample(docs, labels, label, folds, held_out, most, text=text)
     counts = class_counts(chosen)
-    shared = shared_counts(docs, text).of(counts[0])
+    shared = shared_counts(docs, counts[0], text).p
     halves = spark.sparkContext.broadcast([KneserNey(counts, shared, 1), KneserNey(counts, shared, 0)])  # by the half that is scored
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

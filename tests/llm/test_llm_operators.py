@@ -2,11 +2,13 @@
 
 import base64
 import collections
+import datetime
 import hashlib
 import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, mtree, pieces, pseudonyms, quality, repeats, rollups, toxicity, warc
 from tidemark.llm.components import components
-from tidemark.llm.words import Chunk, chunks, hash_bytes, NOT_ALNUM
+from tidemark.llm.words import Chunk, by_key, chunks, hash_bytes, NOT_ALNUM
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators might use themselves.
@@ -60,7 +62,9 @@ def test_words_and_hashes():
     assert Chunk(np.zeros(0, np.uint8), np.zeros(2, np.int64)).words()[2].tolist() == [0, 0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 20, 100_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr("tidemark.llm.components.SMALL", small)
     r = random.Random(5)
     for links in ([], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)], [(r.randrange(80), r.randrange(80)) for _ in range(60)]):
         roots = {x: x for p in links for x in p}
@@ -133,9 +137,81 @@ def test_pseudonyms_of_neighbours(spark):
     assert rest[-2].text == rest[-3].text + " 12" and rest[-1].text == rest[-3].text + " 2024" and rest[-3].text != odd
 
 
+def feistel(kind, left, right, a, b, tweak=""):
+    """The network in plain Python."""
+    draw = lambda *parts: int(hashlib.sha256("|".join(map(str, ("k", kind, tweak, *parts))).encode()).hexdigest()[:15], 16)
+    for i in range(pseudonyms.ROUNDS):
+        left = (left + draw("l", i, right) % a) % a
+        right = (right + draw("r", i, left) % b) % b
+    return left, right
+
+
+def digits_by_hand(kind, d):
+    half = len(d) // 2
+    a, b = feistel(kind, int(d[:half]), int(d[half:]), 10**half, 10 ** (len(d) - half), len(d))
+    return f"{a:0{half}d}{b:0{len(d) - half}d}"
+
+
+def pseudonym_by_hand(kind, x):
+    if kind == "date":
+        first = datetime.date(1900, 1, 1)
+        a, b = feistel("date", *divmod((datetime.date.fromisoformat(x) - first).days, 4297), 17, 4297)
+        return (first + datetime.timedelta(a * 4297 + b)).isoformat()
+    if kind == "ssn":
+        areas = [f"{i:03d}" for i in range(1, 900) if i != 666]
+        area, group, serial = x.split("-")
+        a, b = feistel("ssn", areas.index(area) * 99 + int(group) - 1, int(serial) - 1, 898 * 99, 9999)
+        return f"{areas[a // 99]}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "ip":
+        o = list(map(int, x.split(".")))
+        a, b = feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "card":
+        payload = digits_by_hand("card", x[:-1])
+        return next(y for y in (payload + c for c in "0123456789") if luhn(y))
+    return x[:2] + digits_by_hand("phone", x[2:])
+
+
+def test_pseudonyms_by_hand(spark):
+    r = random.Random(9)
+    some = {
+        "date": [(datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(73049))).isoformat() for _ in range(40)] + ["1900-01-01", "2099-12-31"],
+        "ssn": [f"{r.choice([1, 665, 667, 899, r.randint(1, 665)]):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}" for _ in range(60)],
+        "ip": [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(30)],
+        "card": [with_check("".join(r.choice("0123456789") for _ in range(r.randint(12, 18)))) for _ in range(30)],
+        "phone": [f"+1{r.randrange(10**10):010d}" for _ in range(20)] + [f"+7{r.randrange(10**10):010d}" for _ in range(20)],
+    }
+    values = [(k, x) for k, xs in some.items() for x in xs]
+    found = pseudonyms.pseudonymise(docs_of(spark, [x for _, x in values]), key="k").orderBy("doc_id").collect()
+    for (kind, x), row in zip(values, found):
+        assert row.text == pseudonym_by_hand(kind, x), (kind, x)
+        if kind == "ssn":
+            assert not re.search("^(?:000|666|9)|-00-|0000$", row.text)
+        if kind == "date":
+            assert "1900-01-01" <= row.text <= "2099-12-31"
+
+
+def test_phones_are_linked_however_they_are_written(spark):
+    texts = ["+1-555-123-4567", "+15551234567", "+1 (555) 123-4567", "555-123-4567", "(555) 123-4567", "+44 20 7946 0958", "+442079460958", "+353 1 234 5678", "+35312345678", "+33 1 23 45 67 89", "+33123456789"]
+    out = [re.sub("[^0-9]", "", x.text) for x in pseudonyms.pseudonymise(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert {x.removeprefix("1") if len(x) == 11 else x for x in out[:5]} == {out[3]} and out[0][0] == "1" and out[3] != "5551234567"
+    assert out[5] == out[6] != "442079460958" and out[5].startswith("44") and out[7] == out[8] != "35312345678" and out[7].startswith("353") and out[9] == out[10] != "33123456789"
+
+
+def test_the_key_comes_from_the_session(spark):
+    docs = docs_of(spark, ["123-45-6789"] * 2)
+    known = {x.text for x in pseudonyms.pseudonymise(docs).collect()}
+    spark.conf.set(pseudonyms.KEY_CONF, "of the session")
+    try:
+        own = {x.text for x in pseudonyms.pseudonymise(docs).collect()}
+    finally:
+        spark.conf.unset(pseudonyms.KEY_CONF)
+    assert len(known) == len(own) == 1 and known != own == {x.text for x in pseudonyms.pseudonymise(docs, key="of the session").collect()}
+
+
 def test_feistel_is_a_permutation(spark):
-    days = spark.range(229 * 319).select(pseudonyms.feistel("k", "d", F.floor(F.col("id") / 319), F.col("id") % 319, 229, 319).alias("p"))
-    assert days.distinct().count() == 229 * 319
+    days = spark.range(17 * 4297).select(pseudonyms.feistel("k", "d", F.floor(F.col("id") / 4297), F.col("id") % 4297, 17, 4297).alias("p"))
+    assert days.distinct().count() == 17 * 4297 == 73049
     digits = spark.range(1000).select(pseudonyms.permuted_digits("k", "d", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p"))
     assert {x.p for x in digits.collect()} == {f"{i:03d}" for i in range(1000)}
 
@@ -220,6 +296,20 @@ def test_mtree(spark, monkeypatch, page, shard):
     assert mtree.search(mtree.build(df.limit(0)), df, 5).count() == 0 and mtree.search(mtree.build(df), df.limit(0), 5).count() == 0
 
 
+def test_mtree_of_large_components(spark):
+    """Components that 32 bits do not hold, and scores that floating-point numbers do not."""
+    r = random.Random(4)
+    rows = [(i, [r.uniform(-1, 1) * 10 ** r.choice([0, 3, 7]) for _ in range(6)]) for i in range(120)] + [(200 + i, [4e6 + i / 256, 3e6, 2e6]) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = mtree.search(mtree.build(vectors), vectors.where("vec_id % 50 = 0"), 5).collect()
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for q in [i for i in whole if i % 50 == 0]:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+        assert [(x.vec_id, x.score) for x in sorted(found, key=lambda x: x.rank) if x.query_id == q] == [(i, -s) for s, i in scores]
+    with pytest.raises(Exception, match="64 bits"):
+        mtree.build(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_mtree_blocks(spark, monkeypatch):
     monkeypatch.setattr(mtree, "BLOCK", 2)
     rows = [(i * 50, [float(i), 1.0]) for i in range(7)]
@@ -354,6 +444,24 @@ def brute_contamination(docs, items, window=10):
     return sorted(out)
 
 
+def test_long_words_and_texts(spark):
+    """A word of 1 MB costs its bytes, not those of all suffixes; nor do long texts."""
+    long = "q" * 1_000_000
+    r = random.Random(7)
+    text = prose(r, 60_000, 500)
+    items = [(str(i), prose(r, 12, 500)) for i in range(60)] + [("long", long), ("in", "a b c d " + long + " e f g h i j k"), ("not", "a b c d " + long + "q e f g h i j k")]
+    docs = [text + " " + items[3][1], f"x a b c d {long} e f g h i j k y", "w " * 20 + long, "z" * 2_000_000, long[:-1]]
+    began = time.process_time()
+    tests = decontaminate.TestSuffixes([i for i, _ in items], [t for _, t in items], 10)
+    assert tests._eight.nbytes < 40_000_000
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    found = {x.doc_id: x for x in decontaminate.matches(docs_of(spark, docs), benchmark).collect()}
+    assert [sorted(found[i]["items"]) for i in range(5)] == [["3"], ["in", "long"], ["long"], [], []]
+    assert found[1].spans[0].asDict() == {"first": 1, "n": 12} and time.process_time() - began < 60
+    kept = {x.doc_id: x for x in repeats.without_repeats(docs_of(spark, [docs[0], docs[0] + " " + long, docs[3]])).collect()}
+    assert kept[0].n_removed == 0 and kept[1].n_removed == kept[1].n_words - 1 and kept[2].n_words == 1
+
+
 @pytest.mark.parametrize("block,shard", [(1 << 24, 1 << 22), (40, 300)])
 def test_contamination(spark, monkeypatch, block, shard):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
@@ -503,9 +611,9 @@ def test_batches_are_cut_between_keys():
     keys = np.repeat([1, 2, 3, 4, 5], [3, 900, 1, 40, 2])
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 7])], names=["k"]) for i in range(0, len(keys), 7)]
     for most in (1, 10, 100, 10_000):
-        out = [x.column("k").to_pylist() for x in jaccard._by_key(iter(batches), ["k"], most)]
+        out = [x.column("k").to_pylist() for x in by_key(iter(batches), ["k"], most)]
         assert sum(out, []) == keys.tolist() and all(a[-1] != b[0] for a, b in zip(out, out[1:]))
-    assert list(jaccard._by_key(iter([]), ["k"])) == []
+    assert list(by_key(iter([]), ["k"], 9)) == []
 
 
 def test_clusters_edge_cases(spark):
@@ -609,6 +717,47 @@ def test_rollups(spark, tmp_path):
         rollup.apply("a/b")
 
 
+def test_batches_at_the_same_time(spark, tmp_path):
+    """A batch committed while another is worked out: the other sees it, and totals are as one after the other."""
+    row = "doc_id long, source string, lang string, n_tokens long, tokenizer_version string"
+    frame = lambda n: spark.createDataFrame([(1, "a", "en", n, "v")], row)
+    folder = str(tmp_path / "r")
+    one, two = rollups.Rollup(spark, folder), rollups.Rollup(spark, folder)
+    assert one.apply("1", inserts=frame(10))
+    write, tries = one._write, []
+
+    def slow(changes, name):
+        tries.append(name)
+        out = write(changes, name)
+        if len(tries) == 1:
+            assert two.apply("3", revisions=frame(30))
+        return out
+
+    one._write = slow
+    assert one.apply("2", revisions=frame(20)) and tries == ["2", "2"]
+    assert [tuple(x) for x in one.totals().collect()] == [("a", "en", "v", 1, 20)] == [tuple(x) for x in two.totals().collect()]
+    # two attempts at one batch: one winner
+    tries.clear()
+    one._write = lambda changes, name: (write(changes, name), tries or tries.append(two.apply("4", inserts=frame(5))))[0]
+    assert not one.apply("4", inserts=frame(5)) and tries == [True]
+    assert [tuple(x) for x in two.totals().collect()] == [("a", "en", "v", 2, 25)]
+
+
+def test_snapshots(spark, tmp_path):
+    row = "doc_id long, source string, lang string, n_tokens long, tokenizer_version string"
+    frame = lambda *rows: spark.createDataFrame([(i, s, "en", n, "v") for i, s, n in rows], row)
+    rollup = rollups.Rollup(spark, str(tmp_path / "r"))
+    rollup.apply("1", inserts=frame((1, "a", 10), (2, "b", 5), (3, "b", 4)))
+    rollup.apply("2", deletes=frame((2, "b", 5)))
+    before = sorted(map(tuple, rollup.totals().collect()))
+    assert rollup.snapshot() and sorted(map(tuple, rollup.totals().collect())) == before == [("a", "en", "v", 1, 10), ("b", "en", "v", 1, 4)]
+    assert not rollup.apply("2", deletes=frame((1, "a", 10))) and rollup.apply("3", revisions=frame((3, "a", 6)))
+    assert [tuple(x) for x in rollups.Rollup(spark, rollup.folder).totals().collect()] == [("a", "en", "v", 2, 16)]
+    assert {(x.doc_id, x.n_tokens) for x in rollup.documents().collect()} == {(1, 10), (3, 6)}
+    assert len(rollup.documents().inputFiles()) < 12 and rollup.apply("4", revisions=spark.createDataFrame([(3, None, None, None, "v")], row))
+    assert sorted(map(str, map(tuple, rollup.totals().collect()))) == ["('a', 'en', 'v', 1, 10)", "(None, None, 'v', 1, 0)"]
+
+
 def test_token_counts(spark):
     import tiktoken
 
@@ -629,6 +778,37 @@ c</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><!
 <p><b>Bold</b> text &lt;here&gt;<br>next<p>5 < 6</p><script>gone</body></html>"""
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a href=", '<a href="', "<head>", "<title>", "<script ", "<script>", "<!-- ", "<html ", "</head ", "<p ", "<", "&", "<a href='x'>"])
+def test_hostile_pages_are_read_once(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    for x in (page, page + ">", "<a " + page + '">'):
+        warc.plain_text(x), warc.title_of(x), warc.language_of(x), warc.links_of(x)
+    assert time.process_time() - began < 12
+
+
+def test_records_without_a_sound_length():
+    sound = warc.to_warc({x: None for x in warc._NAMES} | {"warc_type": "response", "headers": {}, "block": b"xy"})
+    for bad in ("x", "", "-3", "9" * 30, "1_0"):
+        raw = sound + sound.replace(b"Content-Length: 2", f"Content-Length: {bad}".encode())
+        assert [x["block"] for x in warc.from_warc(raw)] == [b"xy"]
+    assert list(warc.from_warc(b"")) == list(warc.from_warc(b"WARC/1.1 and no more")) == []
+
+
+def test_parsed_responses_keep_their_headers(spark):
+    """From the bytes of a WARC file, with headers of its own, to derivatives."""
+    http = b"HTTP/1.1 203 Other\r\nContent-Type: text/html; charset=x\r\nX-Own: 7\r\n\r\n<title>T</title><p>one<a href=u>two</a>"
+    record = {x: None for x in warc._NAMES} | {"warc_type": "response", "record_id": "<urn:uuid:1>", "target_uri": "http://a/", "warc_date": "2020-02-02T00:00:00Z", "headers": {"WARC-IP-Address": "1.2.3.4"}, "payload_digest": "sha1:P", "block": http}
+    other = record | {"warc_type": "request", "record_id": "<urn:uuid:2>"}
+    raw = spark.createDataFrame([(warc.to_warc(other) + warc.to_warc(record),), (None,)], "warc binary")
+    found = {x.warc_type: x for x in warc.derivatives(warc.parsed(raw)).collect()}
+    assert set(found) == {"metadata", "conversion"} and {x.refers_to for x in found.values()} == {"<urn:uuid:1>"}
+    assert bytes(found["conversion"].block) == b"Tonetwo" or bytes(found["conversion"].block) == b"T\nonetwo"
+    assert found["conversion"].headers == {"WARC-Source-Content-Type": "text/html; charset=x", "WARC-Source-Payload-Digest": "sha1:P"}
+    fields = bytes(found["metadata"].block).decode().split("\r\n")
+    assert {"http-status: HTTP/1.1 203 Other", "http-header-x-own: 7", "title: T", "outlink: u"} <= set(fields)
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", PAGE), (2, None, None), (3, "http://b/", ""), (3, "http://b/", ""), (4, "http://c/é", "plain\r\n\r\ntext <!-- open")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(1))

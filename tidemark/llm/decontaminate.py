@@ -6,7 +6,7 @@ inside the intervals that some test suffix reaches, as no other part of the orde
 
 Words: lower-cased (A-Z) runs of digits, a-z and non-ASCII characters.  A test suffix is cut after ``window`` words; an
 item of fewer words is one suffix.  Nothing is shuffled: test suffixes go to the shards in blocks of at most
-``BLOCK_BYTES``, however many items there are, and a block's hits are added to those of the blocks before.
+``BLOCK_BYTES``, however many items there are; a block's hits are written, and those of the next are added to them.
 
 Edge cases: a null or empty text has no words, a null item no suffix; repeated items count once by ``item_id``; an item
 without id marks words and is not listed.
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .words import NOT_ALNUM, U64, Chunk, chunks, ranges, row_of, text_buffers
+from .work import written
 
 WINDOW = 10
 #: Text of the test suffixes that are broadcast at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 _STEP = 8
+_FREE = np.array([(1 << 8 * n) - 1 for n in range(_STEP + 1)], U64)
 
 SPANS = "array<struct<first:int,n:int>>"
 
@@ -66,7 +68,7 @@ class SuffixArray:
         alive = np.arange(len(tests.length))
         place = np.zeros(len(alive), np.int64)  # the interval's group of each test suffix
         for level in range(tests.levels):
-            low, high = tests.low[alive, level], tests.high[alive, level]
+            low, high = tests.keys(alive, level)
             if group is None:
                 lo, hi = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
             else:
@@ -115,10 +117,18 @@ class TestSuffixes:
         self.n_words = np.array([suffixes[x][0] for x in ordered], np.int64)
         self.items = [i for x in ordered for i in dict.fromkeys(suffixes[x][1])]
         self.at = np.cumsum([0] + [len(dict.fromkeys(suffixes[x][1])) for x in ordered])
-        self.levels = -(-int(self.length.max(initial=0)) // _STEP)
-        width = self.levels * _STEP
-        keys = lambda fill: np.frombuffer(b"".join(x.ljust(width, fill) for x in ordered), ">u8").astype(U64).reshape(len(ordered), self.levels)
-        self.low, self.high = keys(b"\0"), keys(b"\xff")
+        blocks = -(-self.length // _STEP)
+        self.levels = int(blocks.max(initial=0))
+        self._at = np.cumsum(blocks) - blocks
+        padded = np.zeros(int(blocks.sum()) * _STEP, np.uint8)
+        padded[ranges(self._at * _STEP, self.length)] = np.frombuffer(b"".join(ordered), np.uint8)
+        self._eight = padded.view(">u8").astype(U64)
+
+    def keys(self, some: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest eight bytes that suffixes beginning with some (longer ones) can have at a level."""
+        low = self._eight[self._at[some] + level]
+        free = np.maximum(0, (level + 1) * _STEP - self.length[some])
+        return low, low | _FREE[free]
 
 
 def _spans(hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,11 +190,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(SPANS)), T.StructField("items", T.ArrayType(T.StringType()))])
-    blocks = [x for x in _blocks(benchmark, item_id, item_text, window) if len(x.length)] or [None]
     out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    for number, block in enumerate(blocks):
+    blocks = (x for x in _blocks(benchmark, item_id, item_text, window) if len(x.length))
+    block, number = next(blocks, None), 0
+    while True:
+        following = next(blocks, None)
         shipped = spark.sparkContext.broadcast(block)
-        final = number == len(blocks) - 1
+        final = following is None
 
         def search(batches: Iterator[pa.RecordBatch], shipped=shipped, number=number, final=final) -> Iterator[pa.RecordBatch]:
             tests = shipped.value or TestSuffixes([], [], window)
@@ -205,6 +217,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", te
                 )
 
         out = out.mapInArrow(search, schema)
+        if final:
+            break
+        out = written(out, "matches")
+        shipped.unpersist()
+        block, number = following, number + 1
     return out.select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))).alias("items"))
 
 
@@ -224,10 +241,13 @@ def report(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, columns unchanged, in which no window of a benchmark item occurs."""
-    spark, out = docs.sparkSession, docs
+    spark, out, shipped = docs.sparkSession, docs, None
     for block in _blocks(benchmark, item_id, item_text, window):
         if not len(block.length):
             continue
+        if shipped:
+            out = written(out, "clean")
+            shipped.unpersist()
         shipped = spark.sparkContext.broadcast(block)
         place = docs.columns.index(text)
 

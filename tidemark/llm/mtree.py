@@ -12,7 +12,8 @@ are taken by their bound, best first, until the best bound is below the k-th sco
 smaller id.  Equal vectors of a shard are one entry with all their ids.
 
 Rows whose vector is null, or holds null or non-finite components, and rows with a null id take no part; a query meets the
-vectors of its own length only.  Repeated rows are results of their own.
+vectors of its own length only.  Repeated rows are results of their own.  Scores that floating-point numbers cannot hold are worked
+out in whole numbers; one that needs over 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 SCALE = 256
 #: Vectors in one tree, entries of a page, children of a routing node, queries in a block.
 SHARD, PAGE, FAN, BLOCK = 1 << 14, 256, 16, 4096
-_INDEX = "shard long, node int, parent int, pivot array<int>, radius double, to_parent double, most double, vectors array<int>, to_pivot array<double>, ids array<array<long>>"
+_INDEX = "shard long, node int, parent int, pivot array<long>, radius double, to_parent double, most double, vectors array<long>, to_pivot array<double>, ids array<array<long>>"
+_WHOLE = 2.0**52  # products of norms up to which scores are exact as floating-point numbers
 _SLACK = 1e-6  # of rounding in bounds, relative to the norms
 
 
@@ -43,8 +45,11 @@ def _integers(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray
             v = x.values
             y = v.to_numpy(zero_copy_only=False).astype(np.float64) if not v.null_count else np.array([np.nan])
             if np.isfinite(y).all():
+                y = np.floor(scale * y)
+                if (np.abs(y) >= 2.0**62).any():
+                    raise ValueError(f"components of {2.0**62 / scale:g} or more have no products in 64 bits")
                 rows.append(i)
-                out.append(np.floor(scale * y).astype(np.int64))
+                out.append(y.astype(np.int64))
     return np.array(rows, np.int64), out
 
 
@@ -91,7 +96,7 @@ def _nodes(vectors: np.ndarray, ids: list[list[int]]) -> Iterator[dict]:
 def build(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """The index of all usable rows: a row for each node, and for each page its entries."""
     names = [x.split(" ")[0] for x in _INDEX.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64()))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64()))]
 
     def tree(ids: list[int], rows: list[np.ndarray], number: Iterator[int]) -> Iterator[pa.RecordBatch]:
         for size in sorted({len(x) for x in rows}):
@@ -146,18 +151,21 @@ class _Tree:
         if x["ids"] is None:
             self.pages.append(None)
         else:
-            v = np.array(x["vectors"], np.float64).reshape(len(x["ids"]), len(pivot))
-            self.pages.append((v, (v * v).sum(1), np.array(x["to_pivot"]), x["ids"]))
+            whole = np.array(x["vectors"], np.int64).reshape(len(x["ids"]), len(pivot))
+            v = whole.astype(np.float64)
+            self.pages.append((v, (v * v).sum(1), np.array(x["to_pivot"]), x["ids"], whole))
 
     def seal(self) -> None:
         self.fans = [(np.array(c), np.stack([self.pivots[i] for i in c]), np.array([self.radius[i] for i in c]), np.array([self.to_parent[i] for i in c]), np.array([self.most[i] for i in c])) if c else None for c in self.children]
 
-    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) of other ids than ``own``: highest score, then smallest id."""
+        q = query.astype(np.float64)
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst first
         qq = float(q @ q)
         length = qq**0.5
         floor = -np.inf
+        exact = length * self.most[0] < _WHOLE
         slack = _SLACK * (1 + length * self.most[0])
         root = float(q @ self.pivots[0])
         queue = [(-np.inf, 0, root)]
@@ -182,11 +190,14 @@ class _Tree:
                     if b >= floor:
                         heapq.heappush(queue, (-b, i, p))
             else:
-                v, norms, away, ids = self.pages[node]
+                v, norms, away, ids, whole = self.pages[node]
                 some = np.flatnonzero(np.minimum(qc + length * away, (qq + norms - (dq - away) ** 2) / 2) + slack >= floor)
                 if not len(some):
                     continue
-                scores = v[some] @ q if 2 * len(some) < len(v) else (v @ q)[some]
+                if exact:
+                    scores = v[some] @ q if 2 * len(some) < len(v) else (v @ q)[some]
+                else:
+                    scores = whole[some].astype(object) @ query.astype(object)
                 able = np.flatnonzero(scores >= floor)
                 for j in able[np.argsort(-scores[able], kind="stable")].tolist():
                     score = int(scores[j])
@@ -220,7 +231,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_i
             def of(tree: _Tree) -> pa.RecordBatch:
                 tree.seal()
                 size = len(tree.pivots[0])
-                out = [(i, x, s) for i, q in shipped.value if len(q) == size for s, x in tree.search(q.astype(np.float64), i, k)]
+                out = [(i, x, s) for i, q in shipped.value if len(q) == size for s, x in tree.search(q, i, k)]
                 return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
             tree, shard = _Tree(), None

@@ -4,8 +4,9 @@ Values are found by one pattern, validated, and replaced by a keyed permutation
 values get equal pseudonyms in every document, different values different ones, and a pseudonym is again a valid value:
 
 * card numbers (13 to 19 digits that pass the Luhn test): the payload is permuted, the check digit made anew;
-* phone numbers (international with 8 to 15 digits, or with an area code) and social security numbers: the digits after the
-  country code;
+* phone numbers (international with 8 to 15 digits, or with an area code): the digits after the country code, however they are
+  set apart, so that a number is linked with and without its code;
+* social security numbers: permuted among the valid ones;
 * dates (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy; 1900 to 2099): permuted among the days of these years;
 * IPv4 addresses (octets up to 255): permuted among all addresses;
 * e-mail addresses: letters among letters and digits among digits of the part before the "@", in lower case.
@@ -15,7 +16,8 @@ follows after a blank, and card numbers are found among other groups of digits.
 a plain group of digits that follows after a blank counts as the phone number's own.  What looks alike and is not valid stays as
 it is.  Each of ``ROUNDS`` double rounds adds to either half a number that SHA-256 makes of key, kind, round and other half.
 
-The key is a literal of the plan: give one derived for the data set, not a master secret.  A null text stays null, an empty
+The key is that given, or else the session's ``spark.tidemark.pii.key``; without either a known one, for tests.  It is a literal of
+the plan: give one derived for the data set, not a master secret.  A null text stays null, an empty
 text empty; other columns are not looked at.
 """
 
@@ -27,7 +29,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The key of tests and of sessions that name none: anyone can undo its pseudonyms.
 KEY = "tidemark"
+KEY_CONF = "spark.tidemark.pii.key"
 ROUNDS = 4
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -45,7 +49,7 @@ _E164 = _DIGIT * 8 + f"(?:{_DIGIT}" * 7 + ")?" * 7
 #: Countries whose numbers all have as many digits: what follows them over a blank is another number.
 _PLANS = {"1": 10, "7": 10, "33": 9, "34": 9, "45": 8, "48": 9, "91": 10}
 _WHOLE = "|".join(code + _DIGIT * n for code, n in _PLANS.items())
-_GROUPS = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,5}}(?:(?:[.-]| (?!(?<=\+{_E164} )(?:{_NEXT}|{_PRINTED}(?![0-9]))))?[0-9]{{2,5}}){{1,4}}"
+_GROUPS = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{1,5}}(?:(?:[.-]| (?!(?<=\+{_E164} )(?:{_NEXT}|{_PRINTED}(?![0-9]))))?[0-9]{{2,5}}){{1,4}}"
 _KINDS = {
     "email": _EMAIL,
     "ip": _IP,
@@ -56,7 +60,11 @@ _KINDS = {
 }
 PATTERN = "|".join(f"(?:{x})" for x in _KINDS.values())
 _DATES = (("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy"))
-_DAYS = (229, 319)  # 229 * 319 days from the first of 1900 to the last of 2099
+_DAYS = (17, 4297)  # 17 * 4297 = 73,049 days from the first of 1900 to the last of 2099
+#: Numbers of areas (001 to 899 but 666), groups (01 to 99) and serials (0001 to 9999) of social security numbers.
+_AREAS, _SSN_GROUPS, _SERIALS = 898, 99, 9999
+#: The country codes of fewer than three digits, by the international numbering plan.
+_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 
 def _draw(key: str, *parts: Column | str) -> Column:
@@ -171,15 +179,28 @@ def _card(key: str, value: Column) -> Column:
 
 def _phone(key: str, value: Column) -> Column:
     def of(d: Column) -> Column:
-        kept = F.length(F.regexp_extract(value, r"^\+([0-9]{1,3})(?:[^0-9]|$)", 1))
+        kept = F.when(value.startswith("+"), F.length(F.regexp_extract(d, f"^(?:{_CODES}|[0-9]{{3}})", 0))).otherwise(0)
         rest = F.substring(d, kept + 1, F.length(d) - kept)
-        return F.when(F.length(d).between(8, 15) & (F.length(d) - kept >= 7), _written(value, F.concat(F.substring(d, F.lit(1), kept), permuted_digits(key, "phone", rest))))
+        return F.when(F.length(d).between(8, 15), _written(value, F.concat(F.substring(d, F.lit(1), kept), permuted_digits(key, "phone", rest))))
 
     return _let(_digits(value), of)
 
 
 def _ssn(key: str, value: Column) -> Column:
-    return _let(_digits(value), lambda d: F.when(~d.rlike("^(?:000|666|9)|^...00|0000$"), _written(value, permuted_digits(key, "ssn", d))))
+    def of(d: Column) -> Column:
+        number = lambda a, n: F.substring(d, F.lit(a), F.lit(n)).cast("int")
+        area = number(1, 3)
+        left = (area - F.when(area > 666, 2).otherwise(1)) * _SSN_GROUPS + number(4, 2) - 1
+        pair = feistel(key, "ssn", left, number(6, 4) - 1, _AREAS * _SSN_GROUPS, _SERIALS)
+
+        def shown(p: Column) -> Column:
+            i = F.floor(p["l"] / _SSN_GROUPS)
+            padded = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+            return _written(value, F.concat(padded(i + F.when(i >= 665, 2).otherwise(1), 3), padded(p["l"] % _SSN_GROUPS + 1, 2), padded(p["r"] + 1, 4)))
+
+        return F.when(~d.rlike("^(?:000|666|9)|^...00|0000$"), _let(pair, shown))
+
+    return _let(_digits(value), of)
 
 
 def _ip(key: str, value: Column) -> Column:
@@ -249,9 +270,10 @@ def pseudonym(key: str, value: Column) -> Column:
     return _let(out, lambda x: F.struct(kind.alias("kind"), x["value"].alias("value"), x["n"].alias("n")))
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY, counts: str | None = None, n_chars: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | None = None, counts: str | None = None, n_chars: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text``.  ``counts``: the name of a further column with the replaced values by kind (map of
     string to int); ``n_chars``: a column to which the change of length is added."""
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
     mark = uuid.uuid4().hex
     found, between, made = f"found_{mark}", f"between_{mark}", f"made_{mark}"
     plain = F.col(text)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .work import written
-from .words import U64, Chunk, chunks, mix64, ranges, row_of, sequence_hashes, starts_within
+from .words import U64, Chunk, by_key, chunks, mix64, ranges, row_of, sequence_hashes, starts_within
 
 WINDOW = 20
 PREFIX = 6
@@ -215,20 +215,8 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                     k = k[begin]
                     yield _out(np.zeros(len(k), U64), doc[k], x.column("row").to_numpy()[which[k]], first[k], count)
 
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= BATCH_ROWS:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                keys = whole["key"].to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-                if cut:
-                    yield from subtrees(whole.slice(0, cut))
-                held, rows = whole.slice(cut).to_batches(), len(keys) - cut
-        if held:
-            yield from subtrees(pa.Table.from_batches(held))
+        for batch in by_key(batches, ["key"], BATCH_ROWS):
+            yield from subtrees(pa.Table.from_batches([batch]))
 
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.mapInArrow(local, _RUNS).repartition(tasks, "key").sortWithinPartitions("key")
@@ -244,8 +232,8 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """For each row of ``docs``: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words that stay, joined by blanks; null for a null
     text) and ``kept_sha256`` of its bytes."""
     runs = repeated_windows(docs, doc_id=doc_id, text=text, window=window, prefix=prefix, heavy=heavy)
-    listed = runs.groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("n").alias("n"))
-    rows = _given(docs, doc_id, text).join(listed, "row", "left").select("doc_id", "text", "start", "n")
+    listed = runs.groupBy("doc_id", "row").agg(F.collect_list("start").alias("start"), F.collect_list("n").alias("n"))
+    rows = _given(docs, doc_id, text).join(listed, ["doc_id", "row"], "left").select("doc_id", "text", "start", "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,6 +12,8 @@ Digests are of the derived block; ``refers_to`` and the source's digests keep th
 UUIDs, so that a job that is run again makes the same records.  ``serialised`` turns records into WARC/1.1 bytes, ``parsed`` turns
 those back into records.  Every step works row by row, without shuffle.
 
+A page is read once, whatever tags in it are open: a tag ends at the next ">", one without is text.
+
 Edge cases: a null html is a response of no bytes and gives an empty text; a null url gives records without target; rows that
 are repeated give repeated records; columns of the pages but the three named are not looked at.
 """
@@ -37,22 +39,77 @@ _STRING, _MAP = pa.string(), pa.map_(pa.string(), pa.string())
 _ARROW = pa.schema(list(zip(_NAMES, [pa.int64(), *[_STRING] * 6, _MAP, _STRING, _STRING, pa.int64(), pa.binary()])))
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of version 5 UUIDs
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?</head\s*>", re.S | re.I)
+_UNSEEN = re.compile(r"<!--|<(script|style|template|noscript)\b", re.I)
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "template", "noscript")}
+_HEAD = re.compile(r"<head\b[^>]*>|</head\s*>", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>|<![^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_HTML, _LANG = re.compile(r"<html\b[^>]*>", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_A, _HREF = re.compile(r"<a\b[^>]*>", re.I), re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 
 
+def _closed(page: str) -> tuple[str, str]:
+    """A page up to its last ">", and the rest, in which no tag ends.  So every search for a tag's end finds one, and a page with
+    any number of open tags is read once."""
+    end = page.rfind(">") + 1
+    return page[:end], page[end:]
+
+
+def _without_unseen(page: str) -> str:
+    """The page without comments, scripts, styles and templates; one that does not end takes the rest of the page along."""
+    out, at = [], 0
+    while found := _UNSEEN.search(page, at):
+        out.append(page[at : found.start()])
+        if found[1] is None:
+            end = page.find("-->", found.end())
+            at = end + 3 if end >= 0 else len(page)
+        elif (opened := page.find(">", found.end())) < 0:
+            return "".join([*out, page[found.start() :]])
+        else:
+            end = _ENDS[found[1].lower()].search(page, opened + 1)
+            at = end.end() if end else len(page)
+        out.append(" ")
+    return "".join([*out, page[at:]])
+
+
+def _without_head(page: str) -> str:
+    out, at, opened = [], 0, None
+    closed, _ = _closed(page)
+    for tag in _HEAD.finditer(closed):
+        if tag[0][1] != "/":
+            opened = tag.start() if opened is None else opened
+        elif opened is not None:
+            out += [page[at:opened], " "]
+            at, opened = tag.end(), None
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The text of a page: without comments, head, scripts and tags, a line for each block, entities decoded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
+    closed, rest = _closed(_without_head(_without_unseen(page)))
+    text = _TAG.sub("", _BREAK.sub("\n", closed)) + rest
     lines = (_BLANKS.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title_of(page: str) -> str | None:
+    begin = _TITLE.search(_closed(page)[0])
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    return page[begin.end() : end.start()] if end else None
+
+
+def language_of(page: str) -> str | None:
+    tags = (_LANG.search(x[0]) for x in _HTML.finditer(_closed(page)[0]))
+    return next((x[1].lower() for x in tags if x), None)
+
+
+def links_of(page: str) -> list[str]:
+    tags = (_HREF.search(x[0]) for x in _A.finditer(_closed(page)[0]))
+    return [next(filter(None, x.groups()), "") for x in tags if x]
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -79,11 +136,11 @@ def _derived(record: dict) -> Iterator[tuple]:
     http = [tuple(map(str.strip, x.partition(":")[::2])) for x in lines if ":" in x]
     page = payload.decode("utf-8", "replace")
     source, uri, date = record["record_id"], record["target_uri"], record["warc_date"]
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    title, lang = title_of(page), language_of(page)
     fields = [("http-status", status)] + [(f"http-header-{k.lower()}", v) for k, v in http]
-    fields += [("title", _one_line(entities.unescape(title[1])))] if title else []
-    fields += [("language", lang[1].lower())] if lang else []
-    fields += [("outlink", _one_line(entities.unescape(next(filter(None, x), "")))) for x in _LINK.findall(page)]
+    fields += [("title", _one_line(entities.unescape(title)))] if title is not None else []
+    fields += [("language", lang)] if lang else []
+    fields += [("outlink", _one_line(entities.unescape(x))) for x in links_of(page)]
     block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
     yield record["page_id"], "metadata", record_id("metadata", source), source, uri, date, "application/warc-fields", {"WARC-Concurrent-To": source or ""}, None, digest(block), len(block), block
     text = plain_text(page).encode("utf-8", "replace")
@@ -139,7 +196,7 @@ def to_warc(record: dict) -> bytes:
 
 
 def from_warc(raw: bytes) -> Iterator[dict]:
-    """The records of some WARC bytes; ends at the first that is not whole."""
+    """The records of some WARC bytes; ends at the first that is not whole or has no sound length."""
     known = {"WARC-Type": "warc_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "warc_date", "WARC-Payload-Digest": "payload_digest", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type"}
     at = 0
     while raw.startswith(b"WARC/", at) and (end := raw.find(b"\r\n\r\n", at)) >= 0:
@@ -151,9 +208,9 @@ def from_warc(raw: bytes) -> Iterator[dict]:
             elif name != "Content-Length":
                 record["headers"][name] = value.strip()
             else:
-                record["content_length"] = int(value)
+                record["content_length"] = int(value) if re.fullmatch(r"\s*[0-9]{1,18}\s*", value, re.A) else -1
         n = record["content_length"] or 0
-        if len(raw) < end + 4 + n:
+        if n < 0 or len(raw) < end + 4 + n:
             return
         record["block"], record["content_length"] = raw[end + 4 : end + 4 + n], n
         yield record

@@ -1,7 +1,7 @@
 """Vectorised words, hashes and shingles over Arrow string columns; the shared task-side helpers of this subpackage.
 
 All functions work on a *chunk*: the texts of some rows, one after the other in one byte array.  A null text has no
-bytes.  Nothing here knows about Spark except :func:`arrow_chunks`, which reads the batches of ``mapInArrow``.
+bytes.  Nothing here knows about Spark.
 """
 
 from __future__ import annotations
@@ -158,3 +158,32 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield Chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches, cut anew so that no key is in two."""
+    held: list[pa.RecordBatch] = []
+    rows, last = 0, None
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(x).to_numpy() for x in keys]
+        new = np.zeros(len(batch), bool)
+        new[0] = last is not None and last != tuple(c[0] for c in columns)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        last = tuple(c[-1] for c in columns)
+        cut = len(batch) - 1 - int(np.argmax(new[::-1])) if new.any() else 0
+        if (cut or new[0]) and rows + cut >= most:
+            held.append(batch.slice(0, cut))
+            yield joined()
+            held, rows = [batch.slice(cut)], len(batch) - cut
+        else:
+            held.append(batch)
+            rows += len(batch)
+    if held:
+        yield joined()

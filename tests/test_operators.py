@@ -212,6 +212,46 @@ def test_store(spark, tmp_path):
     assert points(s.read()) == [(3 * HOUR, 2), (9 * HOUR, INF)]
 
 
+def test_two_writers(spark, tmp_path):
+    """A writer that finds its generation taken tries again: no append is lost, and a compaction keeps what came meanwhile."""
+    s, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    row = lambda seq, pts: frame(spark, [({"__name__": "m"}, pts)]).withColumn("ingest_seq", F.lit(seq).cast("long"))
+    advance, calls = s._advance, []
+
+    def late(number, *state):
+        calls.append(number)
+        if len(calls) in (1, 4):
+            other.append(row(9, [(100 * len(calls), 9)]))
+        return advance(number, *state)
+
+    s._advance = late
+    s.append(row(1, [(1000, 1)]))
+    assert points(s.read()) == [(100, 9), (1000, 1)] and calls == [1, 2]
+    s.append(row(2, [(1000, 3)]))
+    s.compact()
+    assert points(s.read()) == [(100, 9), (400, 9), (1000, 3)] and len(s._generation()[1]) == 2
+    s.drop_older(3 * HOUR)
+    assert s.read().count() == 0
+    s.clean()
+    assert not list((tmp_path / "s").glob("run=*/metric=*/block_start=*")) and s.read().count() == 0
+
+
+def test_order_inside_a_request(spark, tmp_path):
+    """Of several hundred samples of one time the last written counts, across series of equal labels and requests."""
+    part = lambda n, at: {"labels": [{"name": "__name__", "value": "m"}], "samples": [{"timestamp": 5, "value": at + i} for i in range(n)]}
+    bodies = [json.dumps({"timeseries": [part(300, 0), part(4, 1000)]}), json.dumps({"timeseries": [part(200, 2000), part(1, 7)]})]
+    engine = Engine(spark, store=Store(spark, str(tmp_path / "e")))
+    engine.write(bodies[:1])
+    assert [r.value for r in engine.query("m", 5).collect()] == [1003.0]
+    engine.write(bodies[1:])
+    assert [r.value for r in engine.query("m", 5).collect()] == [7.0]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(bodies) + "\n")
+    s = Store(spark, str(tmp_path / "s"))
+    ingest(spark.readStream.format("text").load(str(tmp_path / "in")).withColumnRenamed("value", "body"), s, str(tmp_path / "c"), available_now=True).awaitTermination()
+    assert points(s.read()) == [(5, 7)]
+
+
 def test_levels(spark):
     df = spark.createDataFrame([(2 * HOUR,), (12 * HOUR,), (7 * 24 * HOUR,), (5 * HOUR,), (3 * HOUR,)], "span long")
     assert [r[0] for r in df.select(level(F.col("span"))).collect()] == [0, 1, 2, None, 0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from datetime import datetime, timezone
+from time import time_ns
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +62,7 @@ class Engine:
             raise QueryError("only a store can be written to")
         rows = self.spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "request long, body string")
         found = requests.samples(rows, seq=F.col("request"))
-        now = int(datetime.now(timezone.utc).timestamp() * 1000)
-        self.store.append(found.withColumn("ingest_seq", F.lit(now).cast("long") * 100_000 + F.col("ingest_seq.request")))
+        self.store.append(requests.last_written(found).withColumn("ingest_seq", F.lit(time_ns()).cast("long")))
 
     def _selected(self, selector: str, start: int, end: int, step: int = 0) -> tuple[DataFrame, Query]:
         query = Query(parse(selector), start, end, step)

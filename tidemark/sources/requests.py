@@ -28,6 +28,12 @@ def samples(requests: DataFrame, body: str = "body", seq: Column | None = None)
     return rows.select(series_key(F.col("labels")).alias("series_key"), "labels", F.col("x.timestamp").alias("ts_ms"), F.col("x.value").alias("value"), F.struct("request", "s_pos", "pos").alias("ingest_seq"))
 
 
+def last_written(rows: DataFrame) -> DataFrame:
+    """The last written of the samples of a series and time."""
+    last = F.max_by(F.struct("labels", "value"), "ingest_seq")
+    return rows.groupBy("series_key", "ts_ms").agg(last.alias("x")).select("series_key", "x.labels", "ts_ms", "x.value")
+
+
 def requests(samples: DataFrame, per_series: int = 1000) -> DataFrame:
     """The inverse: a request (column ``body``) for at most ``per_series`` samples of a series, so that a long series is many requests."""
     part = F.floor(F.row_number().over(Window.partitionBy("series_key").orderBy("ts_ms")) / per_series)

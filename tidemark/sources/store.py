@@ -1,13 +1,16 @@
 """The sample store: Parquet, partitioned by metric and time block.
 
-Writes append.  Compaction rewrites blocks to a new generation and retention drops whole blocks; both then change one small
-file, ``_generations/<n>``, which lists the folders that count, so a reader sees either state and never a part of one."""
+Writes append.  Compaction rewrites the store to one folder, retention sets the block from which on samples count; every change
+is one small file, ``_generations/<n>``, which lists the folders that count, so a reader sees either state and never a part of
+one.  Of two writers of a generation the second tries again on what the first has made.  ``clean`` deletes what no longer counts."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,29 +73,47 @@ class Store:
         self._path = lambda *x: path("/".join([self.folder, *x]))
         self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _generation(self) -> tuple[int, list[str]]:
+    def _generation(self) -> tuple[int, list[str], int | None]:
+        """Number, folders and first block (null: any) of the latest generation."""
         at = self._path("_generations")
         numbers = [int(x.getPath().getName()) for x in self._fs.listStatus(at) if x.getPath().getName().isdigit()] if self._fs.exists(at) else []
         if not numbers:
-            return 0, []
+            return 0, [], None
         rows = self.spark.read.text(f"{self.folder}/_generations/{max(numbers)}").collect()
-        return max(numbers), json.loads(rows[0][0])
-
-    def _advance(self, number: int, folders: list[str]) -> None:
-        """Make generation ``number``; an error if someone else has."""
-        out = self._fs.create(self._path("_generations", f".{number}-{uuid.uuid4().hex}"), False)
-        out.write(bytearray(json.dumps(sorted(folders)).encode()))
+        found = json.loads(rows[0][0])
+        return max(numbers), found["folders"], found["from"]
+
+    def _advance(self, number: int, folders: list[str], first: int | None) -> bool:
+        """Make generation ``number``; False if someone else has.  The file is renamed without overwriting, as streams commit theirs."""
+        jvm, staged = self.spark._jvm, self._path("_generations", f".{number}-{uuid.uuid4().hex}")
+        out = self._fs.create(staged, False)
+        out.write(bytearray(json.dumps({"folders": sorted(folders), "from": first}).encode()))
         out.close()
-        staged = next(x.getPath() for x in self._fs.listStatus(self._path("_generations")) if x.getPath().getName().startswith(f".{number}-"))
-        if self._fs.exists(self._path("_generations", str(number))) or not self._fs.rename(staged, self._path("_generations", str(number))):
-            raise RuntimeError(f"generation {number} was made by another writer")
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, self._path("_generations", str(number)), options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self._fs.delete(staged, False)
+            return False
+        return True
+
+    def _change(self, change: Callable[[list[str], int | None], tuple[list[str], int | None] | None]) -> None:
+        """Make what ``change`` says of the latest folders and first block; of a later generation, if another writer was first."""
+        while True:
+            number, folders, first = self._generation()
+            new = change(folders, first)
+            if new is None or self._advance(number + 1, *new):
+                return
 
     def append(self, samples: DataFrame) -> None:
         """Add samples, each block's sorted by series and time; what is there stays as it is."""
-        number, folders = self._generation()
-        name = uuid.uuid4().hex
+        name = f"run={uuid.uuid4().hex}"
         self._write(samples, name)
-        self._advance(number + 1, [*folders, name])
+        self._change(lambda folders, first: ([*folders, name], first))
 
     def _write(self, samples: DataFrame, name: str) -> None:
         metric = F.coalesce(label("__name__"), F.lit(""))
@@ -102,35 +123,42 @@ class Store:
         spread = rows.repartition("metric", "block_start", F.pmod(F.xxhash64("series_key"), F.lit(16)))
         spread.sortWithinPartitions("metric", "block_start", "series_key", "ts_ms").write.partitionBy("metric", "block_start").parquet(f"{self.folder}/{name}")
 
-    def read(self) -> DataFrame:
-        _, folders = self._generation()
+    def _of(self, folders: list[str], first: int | None) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
-        parts = [self.spark.read.schema(_SCHEMA).parquet(f"{self.folder}/{x}") for x in folders]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out.withMetadata("block_start", {"block_ms": self.block_ms})
+        rows = self.spark.read.schema(f"{_SCHEMA}, run string").option("basePath", self.folder).parquet(*[f"{self.folder}/{x}" for x in folders]).drop("run")
+        return rows if first is None else rows.where(F.col("block_start") >= first)
+
+    def read(self) -> DataFrame:
+        _, folders, first = self._generation()
+        return self._of(folders, first).withMetadata("block_start", {"block_ms": self.block_ms})
 
     def compact(self, least: int = 2) -> None:
-        """One generation of sorted blocks, with the last written value of each series and time, if ``least`` appends or more have
-        come together."""
-        number, folders = self._generation()
-        if len(folders) < least:
+        """One folder of sorted blocks, with the last written value of each series and time, if ``least`` appends or more have
+        come together; what is appended meanwhile stays as it is."""
+        _, old, first = self._generation()
+        if len(old) < least:
             return
-        every = self.read()
+        every = self._of(old, first)
         names = every.groupBy("series_key").agg(F.first("labels").alias("labels"))
         last = every.groupBy("series_key", "ts_ms").agg(F.max_by(F.struct("value", "ingest_seq"), "ingest_seq").alias("x")).select("series_key", "ts_ms", "x.value", "x.ingest_seq")
-        name = uuid.uuid4().hex
+        name = f"run={uuid.uuid4().hex}"
         self._write(last.join(names, "series_key"), name)
-        self._advance(number + 1, [name])
+        # another compaction of the same folders was first: this one's work counts for nothing
+        self._change(lambda folders, first: ([name, *(x for x in folders if x not in old)], first) if set(old) <= set(folders) else None)
 
     def drop_older(self, cutoff: int) -> None:
-        """Drop the blocks that end before ``cutoff``: a generation without them is written from the others."""
-        number, folders = self._generation()
-        if folders:
-            name = uuid.uuid4().hex
-            self._write(self.read().where(F.col("block_start") + self.block_ms > cutoff), name)
-            self._advance(number + 1, [name])
-
-
+        """Drop the blocks that end before ``cutoff``; no data are read or written."""
+        start = cutoff // self.block_ms * self.block_ms
+        self._change(lambda folders, first: (folders, max(start, first) if first is not None else start))
+
+    def clean(self) -> None:
+        """Delete the folders and blocks that do not count, once no reader of an earlier generation is left."""
+        _, folders, first = self._generation()
+        for x in self._fs.listStatus(self._path()) if self._fs.exists(self._path()) else []:
+            name = x.getPath().getName()
+            if name.startswith("run=") and name not in folders:
+                self._fs.delete(x.getPath(), True)
+        for x in (self._fs.globStatus(self._path("run=*", "metric=*", "block_start=*")) or []) if first is not None else []:
+            if int(x.getPath().getName().partition("=")[2]) < first:
+                self._fs.delete(x.getPath(), True)

@@ -15,10 +15,8 @@ def ingest(bodies: DataFrame, store: Store, checkpoint: str, *, body: str = "bod
     time, the one of the later batch counts when the store is read through ``dedup_last`` or compacted."""
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = requests.samples(batch, body)
-        # the batch's number leads, so that later batches win; inside a batch the order of requests decides
-        seq = F.lit(number).cast("long") * (1 << 40) + F.pmod(F.col("ingest_seq.request"), F.lit(1 << 33)) * 128 + F.least(F.col("ingest_seq.s_pos") + F.col("ingest_seq.pos"), F.lit(127))
-        store.append(rows.withColumn("ingest_seq", seq))
+        # of a batch's samples of one series and time the last written stays: by request, series and place in it
+        store.append(requests.last_written(requests.samples(batch, body)).withColumn("ingest_seq", F.lit(number).cast("long")))
 
     writer = bodies.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

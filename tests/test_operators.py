@@ -10,7 +10,7 @@ from tidemark.functions.columns import rendered, selected, series_key
 from tidemark.operators import aggregate, counters, metadata, select
 from tidemark.plans.model import AGGREGATES, Aggregation, Query, QueryError, Selector
 from tidemark.plans.selector import parse
-from tidemark.sources import requests
+from tidemark.sources import requests, tables
 from tidemark.sources.store import HOUR, Store, compaction_windows, level
 from tidemark.streaming.ingest import ingest
 
@@ -141,6 +141,46 @@ def test_alignment(spark):
     assert found == sorted((f'{{k="{k}"}}', t, v) for k, s in inside.items() for t, v in greedy(s, 100, 1900, 70))
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alignment_makes_no_grid(spark):
+    df = frame(spark, [({"k": k}, [(t, t) for t in (-30, -5, 0, 3, 999_995)]) for k in "ab"])
+    found = points(select.align(df, Query(Selector(), -30, 1_000_000, 10)), "series_key")
+    expected = greedy([(t, float(t)) for t in (-30, -5, 0, 3, 999_995)], -30, 1_000_000, 10)
+    assert found == sorted((f'{{k="{k}"}}', t, v) for k in "ab" for t, v in expected)
+    assert points(select.align(df.where("false"), Query(Selector(), 0, 100, 10))) == []
+
+
+def test_blocks_do_not_change_rates(spark):
+    r = random.Random(3)
+    times = [sorted(r.choices(range(-400, 3000), k=n)) for n in (1, 2, 60, 200)]
+    df = frame(spark, [({"k": str(i)}, [(t, r.randint(0, 50)) for t in ts]) for i, ts in enumerate(times)])
+    for fn in (counters.rate, counters.derivative):
+        whole = points(fn(df, order=("ingest_seq",), block_ms=10**9), "series_key")
+        assert whole and all(points(fn(df, order=("ingest_seq",), block_ms=b), "series_key") == whole for b in (1, 70, 1000))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_time_ranges_reach_the_files(spark, tmp_path, kind):
+    ms = [d * 86_400_000 + h * HOUR for d in range(1, 6) for h in (0, 5, 23)]
+    rows = spark.createDataFrame([(x, float(x)) for x in ms], "ms long, v double").select(F.timestamp_millis("ms").cast(kind).alias("at"), "v")
+    rows.write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = tables.samples(spark.read.parquet(str(tmp_path / "t")), "m", {"a": F.lit("x")}, "at", "v", F.lit(0))
+        every = [r.ts_ms for r in df.select("ts_ms").collect()]
+        low, high = sorted(every)[4], sorted(every)[9]
+        for found in (select.select(df, Query(Selector(), low, high)), select.select(df, Query(Selector(), low, 1 << 60))):
+            inside = [t for t in every if low <= t <= (high if "1152921504606846976" not in plan(found) else 1 << 60)]
+            assert sorted(r.ts_ms for r in found.collect()) == sorted(inside)
+            assert "GreaterThanOrEqual(at," in plan(found)
+        assert select.instant(df, Selector(), high, 0).first().ts_ms == high
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 INDEX = [("server1", "prod", "cpu"), ("server2", "prod", "cpu"), ("server3", "dev", "cpu"), ("server1", "prod", "memory"), ("database1", "prod", "cpu")]
 
 

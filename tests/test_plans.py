@@ -5,27 +5,17 @@ from tidemark.plans.model import Aggregation, Matcher, Query, QueryError, Select
 from tidemark.plans.selector import parse
 
 
-@pytest.mark.parametrize(
-    "op,value,labels,expected",
-    [
-        ("=", "server1", {"host": "server1"}, True),
-        ("=", "server1", {"host": "server2"}, False),
-        ("=", "server1", {"metric": "cpu"}, False),
-        ("!=", "server1", {"host": "server2"}, True),
-        ("!=", "server1", {"metric": "cpu"}, True),
-        ("!=", "server1", {"host": "server1"}, False),
-        ("=~", "server[0-9]+", {"host": "server123"}, True),
-        ("=~", "server[0-9]+", {"host": "database"}, False),
-        ("=~", "server.*", {"metric": "cpu"}, False),
-        ("!~", "server[0-9]+", {"host": "database"}, True),
-        ("!~", "server[0-9]+", {"host": "server123"}, False),
-        ("!~", "server.*", {"metric": "cpu"}, True),
-        ("=~", "server", {"host": "myserver"}, True),
-        ("=~", "^server$", {"host": "myserver"}, False),
-    ],
-)
-def test_matchers(op, value, labels, expected):
-    assert Selector((Matcher(op, "host", value),)).holds(labels) is expected
+#: A missing label equals nothing and no pattern finds it, so the two negations hold for it.
+@pytest.mark.parametrize("value,equal,found", [("grün", True, True), ("grün-2", False, True), ("GRÜN", False, False), ("", False, False), (None, False, False)])
+def test_matchers(value, equal, found):
+    labels = {"zone": "b"} if value is None else {"farbe": value}
+    holds = {op: Selector((Matcher(op, "farbe", x),)).holds(labels) for op, x in (("=", "grün"), ("!=", "grün"), ("=~", "^gr.n"), ("!~", "^gr.n"))}
+    assert holds == {"=": equal, "!=": not equal, "=~": found, "!~": not found}
+
+
+@pytest.mark.parametrize("text,expected", [('{zone="b",farbe=~"r"}', True), ('{zone="b",farbe!~"r"}', False), ('{zone!="b"}', False), ('{zone=~"^.$",ort!="x"}', True), ("{}", True)])
+def test_all_matchers_must_hold(text, expected):
+    assert parse(text).holds({"zone": "b", "farbe": "rot"}) is expected
 
 
 @pytest.mark.parametrize("op,name,value", [("=", "", "x"), ("=~", "a", ""), ("=~", "a", "["), ("~", "a", "x"), ("=~", "a", "(?=x)"), ("=~", "a", r"(x)\1")])

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from ..plans.model import EQ, NEQ, RE, Matcher, Query, Selector, java_pattern
 
+#: The name of the source's own time, which a source may add to the canonical columns; bounds up to the year 9000 are put on it.
+SOURCE_TIME = "source:time"
+YEAR_9000 = 221_845_392_000_000
+
 
 def series_key(labels: Column) -> Column:
     """``{a="1", b="2"}``, names in order, ``\\`` and ``"`` escaped: equal for equal label sets only."""
@@ -52,6 +56,24 @@ def in_range(query: Query, ts: str = "ts_ms") -> Column:
     return F.lit(True) if query.unbounded else F.col(ts).between(query.start, query.end)
 
 
+def near_range(samples: DataFrame, query: Query) -> Column:
+    """A predicate on the source's own time, if there is one, that every sample of the range fulfils: it reaches the files, where one
+    on ``ts_ms`` does not.  Times without zone get a day more on both sides, as the session's zone decides what they mean."""
+    if SOURCE_TIME not in samples.columns or query.unbounded:
+        return F.lit(True)
+    kind = samples.schema[SOURCE_TIME].dataType.simpleString()
+    if kind not in ("timestamp", "timestamp_ntz", "date"):
+        return F.lit(True)
+    margin = 0 if kind == "timestamp" else 86_400_000
+    bound = lambda ms: F.timestamp_millis(F.lit(ms).cast("long")).cast(kind)
+    out, time = F.lit(True), F.col(f"`{SOURCE_TIME}`")
+    if abs(query.start) < YEAR_9000:
+        out = out & (time >= bound(query.start - margin))
+    if abs(query.end) < YEAR_9000:
+        out = out & (time < bound(query.end + margin + (1 if margin == 0 else 86_400_000)))
+    return out
+
+
 def bucket(step: int, ts: str = "ts_ms") -> Column:
     """The start of the step, from the epoch; the division truncates towards zero."""
     return F.expr(f"({ts} div {int(step)}L) * {int(step)}L")

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_range, selected
+from ..functions.columns import in_range, near_range, selected
 from ..plans.model import Query, QueryError, Selector
 
 #: Grid points of one series that are made at most; a finer grid is taken for a mistake.
@@ -22,7 +22,7 @@ def select(samples: DataFrame, query: Query) -> DataFrame:
         out = out.where(F.col("metric") == query.selector.metric)
     if "block_start" in samples.columns and not query.unbounded:
         out = out.where((F.col("block_start") <= query.end) & (F.col("block_start") > query.start - F.lit(block_length(samples))))
-    return out.where(selected(query.selector, samples) & in_range(query))
+    return out.where(selected(query.selector, samples) & in_range(query) & near_range(samples, query))
 
 
 def block_length(samples: DataFrame) -> int:
@@ -32,7 +32,8 @@ def block_length(samples: DataFrame) -> int:
 
 def instant(samples: DataFrame, selector: Selector, time: int, lookback: int = 0) -> DataFrame:
     """The last sample of each series at ``time`` (or up to ``lookback`` ms before)."""
-    return latest(samples.where(selected(selector, samples) & F.col("ts_ms").between(time - lookback, time)))
+    near = near_range(samples, Query(selector, time - lookback, time))
+    return latest(samples.where(selected(selector, samples) & F.col("ts_ms").between(time - lookback, time) & near))
 
 
 def latest(samples: DataFrame, order: str = "ingest_seq") -> DataFrame:
@@ -64,19 +65,31 @@ def align(samples: DataFrame, query: Query) -> DataFrame:
     before it, stamped with the grid time.
 
     In closed form: with c(k) samples before grid time k, the sample taken there is number k + max over j <= k of (c(j) - j), if
-    there is one.  So two windows and two equi-joins do; the grid's size is checked first."""
+    there is one.  That maximum only goes up where samples are, so it is kept for the times from one such k to the next, and of
+    these only those are made that a sample is left for: the grid is never made, however many series there are."""
     if query.step <= 0:
         raise QueryError("a step must be positive")
     start, end, step = query.start, query.end, query.step
     last = (end - start) // step
     if last > GRID_LIMIT:
         raise QueryError(f"the range has {last} steps; at most {GRID_LIMIT} are made")
-    inside = samples.where(F.col("ts_ms").between(start, end)) if not query.unbounded else samples
+    inside = samples.where(in_range(query) & near_range(samples, query))
     series = Window.partitionBy("series_key").orderBy("ts_ms")
-    rows = inside.select("series_key", "ts_ms", "value", (F.row_number().over(series) - 1).cast("long").alias("rn"), (F.expr(f"(ts_ms - {start}L) div {step}L") + 1).alias("k"))
-    counted = rows.groupBy("series_key", "k").agg(F.count("*").alias("n"))
-    grid = rows.select("series_key").distinct().select("series_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("k"))
-    upto = Window.partitionBy("series_key").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    before = grid.join(counted, ["series_key", "k"], "left").select("series_key", "k", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("c"))
-    taken = before.select("series_key", "k", (F.col("k") + F.max(F.col("c") - F.col("k")).over(upto)).alias("rn"))
+    after = F.when(F.col("ts_ms") < start, 0).otherwise(F.expr(f"(ts_ms - {start}L) div {step}L") + 1)
+    rows = inside.select("series_key", "ts_ms", "value", (F.row_number().over(series) - 1).cast("long").alias("rn"), after.cast("long").alias("k"))
+    by_k = Window.partitionBy("series_key").orderBy("k")
+    upto, whole = by_k.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("series_key")
+    steps = rows.groupBy("series_key", "k").agg((F.max("rn") + 1).alias("c")).select(
+        "series_key",
+        "k",
+        F.greatest(F.lit(0), F.max(F.col("c") - F.col("k")).over(upto)).alias("m"),
+        (F.coalesce(F.lead("k").over(by_k), F.lit(last + 1)) - 1).alias("to"),
+        F.lag("k").over(by_k).isNull().alias("first"),
+        F.max("c").over(whole).alias("n"),
+    )
+    zero = F.lit(0).cast("long")
+    ahead = F.struct(zero.alias("k"), F.when(F.col("first"), F.col("k") - 1).otherwise(-1).cast("long").alias("to"), zero.alias("m"))
+    spans = steps.select("series_key", "n", F.inline(F.array(F.struct("k", "to", "m"), ahead)))
+    spans = spans.withColumn("to", F.least("to", F.col("n") - 1 - F.col("m"), F.lit(last))).where("k <= to")
+    taken = spans.select("series_key", "m", F.explode(F.sequence("k", "to")).alias("k")).select("series_key", "k", (F.col("k") + F.col("m")).alias("rn"))
     return taken.join(rows.select("series_key", "rn", "value"), ["series_key", "rn"]).select("series_key", (F.col("k") * step + start).alias("ts_ms"), "value")

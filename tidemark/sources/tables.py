@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import promoted
+from ..functions.columns import SOURCE_TIME, promoted
 
 
 def samples(df: DataFrame, metric: str, labels: dict[str, Column], ts: str, value: str, seq: Column) -> DataFrame:
-    """``(series_key, labels, ts_ms, value, ingest_seq)`` of a table, and a column for each label; null labels are missing ones, times
-    are cut to ms.  As the labels' names are known, the key is put together from columns, without a look at the map."""
+    """``(series_key, labels, ts_ms, value, ingest_seq)`` of a table, a column for each label and the time as the
+    table has it; null labels are missing ones, times are cut to ms.  As the labels' names are known, the key is put together from columns, without a look at the map."""
     every = {"__name__": F.lit(metric), **{k: c.cast("string") for k, c in labels.items()}}
     pairs = [x for k, c in every.items() for x in (F.lit(k), c)]
     full = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
@@ -22,6 +22,7 @@ def samples(df: DataFrame, metric: str, labels: dict[str, Column], ts: str, valu
         F.unix_millis(F.col(ts).cast("timestamp")).alias("ts_ms"),
         F.col(value).cast("double").alias("value"),
         seq.alias("ingest_seq"),
+        F.col(ts).alias(SOURCE_TIME),
         *[c.alias(promoted(k)) for k, c in every.items()],
     )
 

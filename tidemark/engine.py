@@ -84,11 +84,11 @@ class Engine:
         rows, _ = self._selected(selector, start, end)
         return aggregate.aggregate(self._deduplicated(rows), Aggregation(fn, step, by, without))
 
-    def rate(self, selector: str, start: int, end: int, range_seconds: float = 1) -> DataFrame:
-        return counters.rate(self._deduplicated(self._selected(selector, start, end)[0]), range_seconds)
+    def rate(self, selector: str, start: int, end: int, range_seconds: float = 1, block_ms: int | None = None) -> DataFrame:
+        return counters.rate(self._deduplicated(self._selected(selector, start, end)[0]), range_seconds, block_ms=block_ms)
 
-    def derivative(self, selector: str, start: int, end: int) -> DataFrame:
-        return counters.derivative(self._deduplicated(self._selected(selector, start, end)[0]))
+    def derivative(self, selector: str, start: int, end: int, block_ms: int | None = None) -> DataFrame:
+        return counters.derivative(self._deduplicated(self._selected(selector, start, end)[0]), block_ms=block_ms)
 
     def increase(self, selector: str, start: int, end: int) -> DataFrame:
         return counters.increase(self._deduplicated(self._selected(selector, start, end)[0]))

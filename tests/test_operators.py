@@ -11,7 +11,7 @@ from tidemark.operators import aggregate, counters, metadata, select
 from tidemark.plans.model import AGGREGATES, Aggregation, Query, QueryError, Selector
 from tidemark.plans.selector import parse
 from tidemark.sources import requests, tables
-from tidemark.sources.store import HOUR, Store, compaction_windows, level
+from tidemark.sources.store import HOUR, Retention, Store, compaction_windows, level, level_of
 from tidemark.streaming.ingest import ingest
 
 SCHEMA = "labels map<string,string>, ts_ms long, value double, ingest_seq long"
@@ -248,8 +248,75 @@ def test_store(spark, tmp_path):
     pruned = select.select(s.read(), Query(parse("m"), 3 * HOUR, 3 * HOUR))
     assert points(pruned) == [(3 * HOUR, 2)]
     assert "PartitionFilters: [" in pruned._jdf.queryExecution().toString() and "block_start" in pruned._jdf.queryExecution().toString()
-    s.drop_older(3 * HOUR)
-    assert points(s.read()) == [(3 * HOUR, 2), (9 * HOUR, INF)]
+    assert s.drop_older(9 * HOUR) == 0 and s.read().count() == 3  # blocks go whole
+    assert s.drop_older(9 * HOUR + 1) == 1 and s.read().count() == 0
+
+
+def test_retention_before_compaction(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.append(frame(spark, [({"__name__": "m"}, [(1000, 1), (3 * HOUR, 2), (9 * HOUR, 3)])]))
+    assert s.drop_older(3 * HOUR) == 1
+    assert points(s.read()) == [(3 * HOUR, 2), (9 * HOUR, 3)] and s.blocks().count() == 2
+
+
+def test_levels_of_a_store(spark, tmp_path):
+    """Three blocks or more in a window become one of the next level; the others are not touched, and week blocks come of half-days."""
+    s = Store(spark, str(tmp_path / "s"))
+    row = lambda seq, pts: frame(spark, [({"__name__": "m", "i": str(t % 2)}, [(t, v)]) for t, v in pts]).withColumn("ingest_seq", F.lit(seq).cast("long"))
+    half = lambda d: [(12 * HOUR * d + 2 * HOUR * i + i, i) for i in range(4)]
+    s.append(row(1, half(0) + half(1) + half(2) + [(40 * 24 * HOUR, 5)]))
+    s.append(row(2, [(0, 77)]))
+    before = {tuple(b) for b in s.blocks().collect()}
+    assert {(n, len(b)) for n, b in s.due()} == {(1, 5), (1, 4)}
+    assert s.compact() == 4  # three half-days, then these as one
+    found = {(b.block_start, b.block_ms, b.level, b.n_samples) for b in s.blocks().collect()}
+    assert found == {(0, 7 * 24 * HOUR, 2, 12), (40 * 24 * HOUR, 2 * HOUR, 0, 1)}
+    assert [b for b in s.blocks().collect() if tuple(b) in before]
+    want = sorted([(t, v) for d in range(3) for t, v in half(d) if t] + [(0, 77), (40 * 24 * HOUR, 5)])
+    assert points(s.read()) == want and s.due() == [] and s.compact() == 0
+    assert points(select.select(s.read(), Query(parse("m"), 24 * HOUR, 27 * HOUR))) == [(24 * HOUR, 0), (26 * HOUR + 1, 1)]
+    stats = {r.level: (r.n_blocks, r.n_samples) for r in s.stats().collect()}
+    assert stats == {0: (1, 1), 2: (1, 12)}
+    assert s.validate().count() == 0
+    files = lambda: list((tmp_path / "s").rglob("*.parquet"))
+    n = len(files())
+    s.clean(grace_ms=0)
+    assert len(files()) < n and points(s.read()) == want and not s._generation()[1].gone and s.validate().count() == 0
+    for f in files():
+        if "block_start=0" in str(f):
+            f.unlink()
+    assert [(r.n_samples, r.n_found) for r in s.validate().collect()] == [(12, 0)]
+    assert [level_of(x * HOUR) for x in (1, 2, 12, 100, 168, 200)] == [0, 0, 1, 1, 2, 2]
+
+
+def test_policy(spark, tmp_path):
+    engine = Engine(spark, store=Store(spark, str(tmp_path / "s"), policy=Retention(enabled=False)))
+    engine.store.append(frame(spark, [({"__name__": "m"}, [(1000, 1), (30 * HOUR, 2)])]))
+    assert engine.store.retain(10**15) == 0
+    engine.set_retention_policy(Retention(10 * HOUR))
+    assert tuple(engine.retention_stats(35 * HOUR).first()) == (2, 1, 1, 35 * HOUR - 1000, 5 * HOUR)
+    assert engine.store.retain(35 * HOUR) == 1 and points(engine.samples()) == [(30 * HOUR, 2)]
+    assert engine.compaction_stats().first().n_blocks == 1 and engine.trigger_compaction() == 0
+    assert engine.retention_policy() == Retention(10 * HOUR)
+    with pytest.raises(QueryError):
+        engine.set_retention_policy(Retention(0))
+    with pytest.raises(QueryError):
+        Engine(spark, engine.samples()).compaction_stats()
+
+
+def test_churn_and_lookup(spark):
+    df = frame(spark, [({"a": "x"}, [(10, 1), (500, 1)]), ({"a": "y"}, [(20, 1)]), ({"a": "z"}, [(900, 1)])])
+    assert tuple(metadata.churn(df, 600, 200).first()) == (1, 2, 1, 0.5)
+    assert tuple(metadata.churn(df, 5, 200).first()) == (0, 0, 0, 0.0)
+    ids = metadata.series_ids(df)
+    assert [(r.series_id, r.labels) for r in metadata.series_of_ids(df, ids, 2, 9).collect()] == [(2, {"a": "y"})]
+
+
+def test_hash_aggregates(spark):
+    """Numbers alone are in the buffers, so that nothing is sorted before it is grouped."""
+    df = frame(spark, [({"a": "x"}, [(10, 1)])])
+    for found in (select.dedup_last(df), metadata.series(df), metadata.label_names(df), metadata.having_label(df, "a"), metadata.postings(df), Engine(spark, df).query_range("{}", 0, 20)):
+        assert "HashAggregate" in plan(found) and "SortAggregate" not in plan(found)
 
 
 def test_two_writers(spark, tmp_path):
@@ -269,11 +336,11 @@ def test_two_writers(spark, tmp_path):
     assert points(s.read()) == [(100, 9), (1000, 1)] and calls == [1, 2]
     s.append(row(2, [(1000, 3)]))
     s.compact()
-    assert points(s.read()) == [(100, 9), (400, 9), (1000, 3)] and len(s._generation()[1]) == 2
+    assert points(s.read()) == [(100, 9), (400, 9), (1000, 3)] and len(s._generation()[1].folders) == 2
     s.drop_older(3 * HOUR)
     assert s.read().count() == 0
-    s.clean()
-    assert not list((tmp_path / "s").glob("run=*/metric=*/block_start=*")) and s.read().count() == 0
+    s.clean(grace_ms=0)
+    assert not list((tmp_path / "s").rglob("*.parquet")) and s.read().count() == 0
 
 
 def test_order_inside_a_request(spark, tmp_path):

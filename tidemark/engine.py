@@ -15,7 +15,7 @@ from .operators import aggregate, counters, metadata, select
 from .plans.model import Aggregation, Query, QueryError
 from .plans.selector import parse
 from .sources import requests
-from .sources.store import Store
+from .sources.store import Retention, Store, retention_report
 
 _UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
@@ -69,8 +69,8 @@ class Engine:
         return select.select(self.samples(), query), query
 
     def _deduplicated(self, rows: DataFrame) -> DataFrame:
-        last = F.max_by(F.struct("labels", "value"), "ingest_seq")
-        return rows.groupBy("series_key", "ts_ms").agg(last.alias("x")).select("series_key", "x.labels", "ts_ms", "x.value")
+        # labels in the key: the buffers are then of numbers alone, and no rows are sorted
+        return rows.groupBy("series_key", "labels", "ts_ms").agg(F.max_by("value", "ingest_seq").alias("value"))
 
     def query(self, selector: str, time: int, lookback: int = 0) -> DataFrame:
         return select.instant(self.samples(), parse(selector), time, lookback)
@@ -108,6 +108,35 @@ class Engine:
     def status(self) -> DataFrame:
         return metadata.stats(self.samples())
 
+    def series_of_id(self, ids: DataFrame, *wanted: int) -> DataFrame:
+        """The series of ids that ``metadata.series_ids`` gave."""
+        return metadata.series_of_ids(self.samples(), ids, *wanted)
+
+    def churn(self, now: int, stale: int = 3_600_000) -> DataFrame:
+        return metadata.churn(self.samples(), now, stale)
+
+    def _stored(self) -> Store:
+        if self.store is None:
+            raise QueryError("only a store has blocks")
+        return self.store
+
+    def compaction_stats(self) -> DataFrame:
+        return self._stored().stats()
+
+    def trigger_compaction(self, least: int = 3) -> int:
+        return self._stored().compact(least)
+
+    def retention_stats(self, now: int) -> DataFrame:
+        return retention_report(self._stored().blocks(), now, self._stored().policy.max_age)
+
+    def retention_policy(self) -> Retention:
+        return self._stored().policy
+
+    def set_retention_policy(self, policy: Retention) -> None:
+        if policy.max_age <= 0:
+            raise QueryError("samples must be kept for some time")
+        self._stored().policy = policy
+
     def matrix(self, rows: DataFrame) -> DataFrame:
         """A row of JSON for each series: its labels and its samples in order, values as strings."""
         pairs = F.sort_array(F.collect_list(F.struct("ts_ms", rendered(F.col("value")).alias("v"))))

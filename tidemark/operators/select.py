@@ -15,21 +15,16 @@ GRID_LIMIT = 10_000_000
 
 
 def select(samples: DataFrame, query: Query) -> DataFrame:
-    """Samples of the selected series in the range.  Where the table is partitioned by ``metric`` and ``block_start``, predicates on
-    these are added, so that only the partitions in question are listed."""
+    """Samples of the selected series in the range.  Where the table is partitioned by ``metric`` and blocks of ``block_ms`` from
+    ``block_start``, predicates on these are added, so that only the partitions in question are listed."""
     out = samples
     if "metric" in samples.columns and query.selector.metric is not None:
         out = out.where(F.col("metric") == query.selector.metric)
     if "block_start" in samples.columns and not query.unbounded:
-        out = out.where((F.col("block_start") <= query.end) & (F.col("block_start") > query.start - F.lit(block_length(samples))))
+        out = out.where((F.col("block_start") <= query.end) & (F.col("block_start") > query.start - F.col("block_ms")))
     return out.where(selected(query.selector, samples) & in_range(query) & near_range(samples, query))
 
 
-def block_length(samples: DataFrame) -> int:
-    """The length of the blocks, as the writer noted it on the column."""
-    return int(samples.schema["block_start"].metadata.get("block_ms", 7_200_000))
-
-
 def instant(samples: DataFrame, selector: Selector, time: int, lookback: int = 0) -> DataFrame:
     """The last sample of each series at ``time`` (or up to ``lookback`` ms before)."""
     near = near_range(samples, Query(selector, time - lookback, time))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions.columns import bucket, label_of
 from .operators import aggregate as agg
 from .operators import counters, metadata, select
 from .plans.model import Aggregation, Query, Selector
 from .plans.selector import parse
-from .sources import store, tables
+from .session import shared_dir
+from .sources import requests, store, tables
 
 DAY, HOUR = 86_400_000, 3_600_000
 #: 5 and 15 January 2024, and the day after the last event.
@@ -151,6 +154,18 @@ def merge_sources(spark, folder):
     return select.merge(select.dedup_last(every.where("value > 25")), select.dedup_last(every))
 
 
+@_query(f"WITH {_E} SELECT series_key, event_type, user_id FROM (SELECT DISTINCT series_key, event_type, user_id FROM e) QUALIFY row_number() OVER (ORDER BY series_key) IN (2, 5, 40)")
+def series_lookup(spark, folder):
+    every = tables.events(spark, folder)
+    found = metadata.series_of_ids(every, metadata.series_ids(every), 2, 5, 40)
+    return found.select("series_key", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id"))
+
+
+@_query(f"WITH {_E}, t AS (SELECT max(ts_ms) AS last FROM e WHERE ts_ms <= {START + 20 * DAY} GROUP BY series_key), c AS (SELECT count(*) AS n_created, count(*) FILTER (last < {START + 17 * DAY}) AS n_deleted FROM t) SELECT n_created - n_deleted AS n_active, n_created, n_deleted, CASE WHEN n_created > 0 THEN n_deleted / n_created ELSE 0.0 END::DOUBLE AS churn FROM c")
+def series_churn(spark, folder):
+    return metadata.churn(tables.events(spark, folder), START + 20 * DAY, 3 * DAY)
+
+
 _STEP = 3 * HOUR
 _GRID_END = START + 20 * DAY
 
@@ -290,3 +305,48 @@ def retention_filter(spark, folder):
 )
 def retention_report(spark, folder):
     return store.retention_report(store.blocks(tables.events(spark, folder), 12 * HOUR), NOW, 20 * DAY)
+
+
+def _stored(spark: SparkSession, folder: str) -> store.Store:
+    """A new store of all events in two appends: views, and the others."""
+    made = store.Store(spark, f"{shared_dir(spark)}/tidemark/store-{uuid.uuid4().hex}", 12 * HOUR)
+    every = tables.events(spark, folder)
+    for some in (parse('{event_type="view"}'), parse('{event_type!="view"}')):
+        made.append(select.select(every, Query(some)))
+    return made
+
+
+_READ = " SELECT event_type, user_id, ts_ms, arg_max(value, event_id) AS value FROM e"
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id"), "ts_ms", "value")
+
+
+@_query(f"WITH {_E}{_READ} WHERE ts_ms BETWEEN {START} AND {END} AND event_type <> 'view' GROUP BY ALL")
+def store_round_trip(spark, folder):
+    return _read(Engine(spark, store=_stored(spark, folder)).query_range('{event_type!="view"}', START, END))
+
+
+@_query(f"WITH {_E}{_READ} GROUP BY ALL")
+def store_compacted(spark, folder):
+    made = _stored(spark, folder)
+    made.compact()
+    return _read(select.select(made.read(), Query(Selector())))
+
+
+@_query(f"WITH {_E}, b AS (SELECT *, max(ts_ms) OVER (PARTITION BY event_type = 'view', ts_ms // {12 * HOUR}) AS last FROM e) SELECT series_key, ts_ms, value FROM b WHERE last >= {NOW - 20 * DAY}")
+def store_retained(spark, folder):
+    made = _stored(spark, folder)
+    made.policy = store.Retention(20 * DAY)
+    made.retain(NOW)
+    return made.read().select("series_key", "ts_ms", "value")
+
+
+@_query(f"WITH {_E}{_READ} GROUP BY ALL")
+def ingest_json(spark, folder):
+    """Every event as a write request, put into a store as a stream would, and read back."""
+    made = store.Store(spark, f"{shared_dir(spark)}/tidemark/store-{uuid.uuid4().hex}", 12 * HOUR)
+    bodies = requests.requests(select.dedup_last(tables.events(spark, folder)).join(metadata.series(tables.events(spark, folder)), "series_key"))
+    made.append(requests.last_written(requests.samples(bodies)).withColumn("ingest_seq", F.lit(1)))
+    return _read(made.read())

@@ -24,3 +24,15 @@ def ship(spark: SparkSession) -> None:
             out.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(path)
     _shipped.add(spark.sparkContext.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.  Where it is unset, a temporary one is set for a
+    local session; on a cluster that is an error, as the executors could not read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")

@@ -30,8 +30,7 @@ def samples(requests: DataFrame, body: str = "body", seq: Column | None = None)
 
 def last_written(rows: DataFrame) -> DataFrame:
     """The last written of the samples of a series and time."""
-    last = F.max_by(F.struct("labels", "value"), "ingest_seq")
-    return rows.groupBy("series_key", "ts_ms").agg(last.alias("x")).select("series_key", "x.labels", "ts_ms", "x.value")
+    return rows.groupBy("series_key", "labels", "ts_ms").agg(F.max_by("value", "ingest_seq").alias("value"))
 
 
 def requests(samples: DataFrame, per_series: int = 1000) -> DataFrame:

@@ -350,3 +350,7 @@ def ingest_json(spark, folder):
     bodies = requests.requests(select.dedup_last(tables.events(spark, folder)).join(metadata.series(tables.events(spark, folder)), "series_key"))
     made.append(requests.last_written(requests.samples(bodies)).withColumn("ingest_seq", F.lit(1)))
     return _read(made.read())
+
+
+#: Queries that write tables before they read them.
+WRITING = ("series_lookup", "store_round_trip", "store_compacted", "store_retained", "ingest_json")
